@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, bpe, suffix_dedup
+from . import automaton_dedup, bpe, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,51 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir), n=3, percent=90)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a test item, with the items they hold."""
+    found = decontamination.decontamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("distance").alias("distance"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir).select("doc_id", "text"), key="example key")
+
+
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_outliers.quality_outliers(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    return importance.importance(documents(spark, sf_dir), good)
+
+
+def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = language_codes.predict(docs, language_codes.fit(docs.where(~held)))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_automaton_dedup, op7_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     return {}
+
+
+QUERIES = (
+    op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_automaton_dedup, op5_surrogates,
+    op6_quality_outliers, op7_bpe, op8_importance, op9_language_codes, op10_jaccard_join,
+)
