@@ -5,6 +5,7 @@ leftmost smallest hash among its strings of ``reach`` symbols; equal windows
 have their anchor at the same offset. The anchors therefore are a content-defined difference cover:
 any two equal windows meet in a sampled position at one common offset, wherever they start.
 
+Documents whose whole text a smaller document has are answered as a whole and take no part in the search.
 Four exchanges, all of packed arrays, and one exchange of the texts that Spark reuses:
 
 1. each block of documents sends its distinct anchor hashes to buckets by hash range;
@@ -20,11 +21,13 @@ Memory per task: one block's texts (``BLOCK_BYTES``, or one document) or one buc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +94,16 @@ def blocks(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
     return plain.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")).select("block", "doc", "text", "no_id"), n
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Messages to each block with its documents whose whole text is that of a smaller document. docs: of ``blocks``."""
+    name = [F.octet_length("text").alias("size"), F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.crc32(F.col("text").cast("binary")).alias("c")]
+    named = docs.select("block", "doc", *name)
+    keys = ["size", "a", "b", "c"]
+    first = named.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    later = named.join(first, keys).where("doc > least")
+    return later.select(F.col("block").alias("key"), F.lit(0).alias("origin"), F.lit(2).alias("kind"), F.concat_ws(",", "doc", "size", "c").cast("binary").alias("blob"))
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """A block's documents in an order that each pass over it finds again."""
     return table.sort_by([("doc", "ascending"), ("text", "ascending")])
@@ -113,6 +126,21 @@ def pieces(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             start, size = i + 1, 0
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Rows by column, compressed: texts have far fewer bits than their bytes."""
+    return zstandard.ZstdCompressor(1).compress(b"".join(rows[c].tobytes() for c in rows.dtype.names))
+
+
+def unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    data, at = zstandard.ZstdDecompressor().decompress(blob), 0
+    out = np.empty(len(data) // kind.itemsize, kind)
+    for c in kind.names:
+        size = out[c].nbytes
+        out[c] = np.frombuffer(data[at : at + size], kind[c].base).reshape(out[c].shape)
+        at += size
+    return out
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -122,11 +150,11 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"key": pa.array(key, pa.int32()), "origin": pa.array(origin, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
+def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, code: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> list[tuple[int, int, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    return [(int(bucket[a]), origin, kind, values[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(bucket)])]
+    return [(int(bucket[a]), origin, 0, code(values[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
 
 
 def repeated_keys(sent: DataFrame) -> DataFrame:
@@ -205,17 +233,33 @@ def repeated_spans(
     """Messages to each block with the spans of windows that occur earlier. docs: of ``blocks``."""
     width, left = windows.width, windows.left
 
-    def found(table: pa.Table) -> Iterator[tuple]:
+    def told(messages: pa.Table) -> tuple[set[bytes], list[bytes]]:
+        """(names of documents that are copies of smaller ones, other messages)."""
+        pairs = list(zip(messages.column("kind").to_pylist(), messages.column("blob").to_pylist()))
+        return {blob for kind, blob in pairs if kind == 2}, [blob for kind, blob in pairs if kind != 2]
+
+    def copied_rows(table: pa.Table, known: set[bytes]) -> list[tuple[int, bytes]]:
+        """(row, text) of the copies in an ordered block."""
+        ids, texts = {int(x.split(b",")[0]) for x in known}, table.column("text")
+        rows = [(i, texts[i].as_py().encode()) for i, doc in enumerate(table.column("doc").to_pylist()) if doc in ids]
+        return [(i, x) for i, x in rows if b"%d,%d,%d" % (table.column("doc")[i].as_py(), len(x), zlib.crc32(x)) in known]
+
+    def found(table: pa.Table, known: set[bytes]) -> Iterator[tuple]:
+        """Anchors of the documents that are no copies; the rows of copies count as empty."""
         table = ordered(table)
+        if known:
+            gone = {i for i, _ in copied_rows(table, known)}
+            text = pa.array(["" if i in gone else x for i, x in enumerate(table.column("text").to_pylist())], pa.string())
+            table = table.set_column(table.column_names.index("text"), "text", text)
         ids = table.column("doc").to_numpy()
         for row, data, ends in pieces(table):
             codes, symbols, starts = windows.symbols(data, ends)
             begin, end = starts[:-1], starts[1:] - (windows.kind == "bytes")  # the blank after a text is no byte of it
             yield row, ids, symbols, begin, end, windows.anchors(codes, begin, end)
 
-    def screen(key: tuple, table: pa.Table) -> pa.Table:
+    def screen(key: tuple, table: pa.Table, copied: pa.Table) -> pa.Table:
         name, doc = [], []
-        for row, ids, _, begin, _, (hashes, pos, _, _) in found(table):
+        for row, ids, _, begin, _, (hashes, pos, _, _) in found(table, told(copied)[0]):
             name.append(hashes >> np.uint64(1))
             doc.append(ids[row + np.searchsorted(begin, pos, "right") - 1])
         if not name:
@@ -234,13 +278,17 @@ def repeated_spans(
 
     def surroundings(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        values, _ = byte_strings(answers.column("blob"))
-        if not len(values) or not table.num_rows:
-            return messages([])
-        wanted = np.sort(values.view(np.uint64))
+        known, blobs = told(answers)
+        out = []
+        if known:
+            whole = whole_spans(ordered(table), known)
+            out.append((block % n, block, 1, whole.tobytes()))
+        if not blobs or not table.num_rows:
+            return messages(out)
+        wanted = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
         wanted, hot = wanted >> np.uint64(1), (wanted & np.uint64(1)).astype(bool)
         parts = []
-        for row, ids, symbols, begin, end, (hashes, pos, a, b) in found(table):
+        for row, ids, symbols, begin, end, (hashes, pos, a, b) in found(table, known):
             at = np.minimum(np.searchsorted(wanted, hashes >> np.uint64(1)), len(wanted) - 1)
             use = np.flatnonzero(wanted[at] == hashes >> np.uint64(1))
             if not len(use):
@@ -248,24 +296,29 @@ def repeated_spans(
             hashes, pos, a, b, warm = hashes[use], pos[use], a[use], b[use], ~hot[at[use]]
             span = np.pad(symbols, (left, left + width))
             own = np.searchsorted(begin, pos, "right") - 1
-            out = np.zeros(len(pos), windows.context)
-            out["hash"], out["doc"], out["row"], out["pos"] = hashes, ids[row + own], row + own, pos - left - begin[own]
-            out["lo"], out["hi"] = a - pos + left, b - pos + left
+            rows = np.zeros(len(pos), windows.context)
+            rows["hash"], rows["doc"], rows["row"], rows["pos"] = hashes, ids[row + own], row + own, pos - left - begin[own]
+            rows["lo"], rows["hi"] = a - pos + left, b - pos + left
             view = np.lib.stride_tricks.sliding_window_view(span, left + width)
             text = view[pos].copy()
             column = np.arange(left + width)
             text[(column < (begin[own] - pos + left)[:, None]) | (column >= (end[own] - pos + left)[:, None])] = 0
-            out["text"] = text
-            out["hot"] = ~warm
-            parts.append(out)
+            rows["text"] = text
+            rows["hot"] = ~warm
+            parts.append(rows)
         if not parts:
-            return messages([])
+            return messages(out)
         rows, local = undecided(np.concatenate(parts))
         single, more = undecided(alone(rows[rows["hot"]]))
         rows, local = np.concatenate([rows[~rows["hot"]], single]), np.concatenate([local, more])
-        out = by_bucket(rows, bucket_of(rows["hash"], n), block)
+        out += by_bucket(rows, bucket_of(rows["hash"], n), block, pack)
         return messages(out + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
 
+    def whole_spans(table: pa.Table, known: set[bytes]) -> np.ndarray:
+        """A span over each copy that has a window at all."""
+        sizes = [(i, len(x) if windows.kind == "bytes" else len(x.split())) for i, x in copied_rows(table, known)]
+        return np.array([(i, 0, k) for i, k in sizes if k >= width], SPAN)
+
     def undecided(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows that a bucket has to decide, spans of those that this block's own documents decide)."""
         rows, known = decide_equal(rows, windows.within)
@@ -295,7 +348,7 @@ def repeated_spans(
             if kind:
                 out.append((origin, key[0].as_py(), 0, blob))
             else:
-                parts.append(np.frombuffer(blob, windows.context))
+                parts.append(unpack(blob, windows.context))
                 origins.append(np.full(len(parts[-1]), origin))
         if parts:
             rows, origin = np.concatenate(parts), np.concatenate(origins)
@@ -309,7 +362,8 @@ def repeated_spans(
                 out.append((int(block), key[0].as_py(), 0, spans_of(rows[own], flags[own], width).tobytes()))
         return messages(out)
 
-    answers = repeated_keys(docs.groupBy("block").applyInArrow(screen, MESSAGE))
+    copied = copies(docs)
+    answers = repeated_keys(docs.groupBy("block").cogroup(copied.groupBy("key")).applyInArrow(screen, MESSAGE)).unionByName(copied)
     sent = docs.groupBy("block").cogroup(answers.groupBy("key")).applyInArrow(surroundings, MESSAGE)
     return sent.groupBy("key").applyInArrow(settle, MESSAGE)
 
