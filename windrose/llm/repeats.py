@@ -303,6 +303,7 @@ def repeated_spans(
             text = view[pos].copy()
             column = np.arange(left + width)
             text[(column < (begin[own] - pos + left)[:, None]) | (column >= (end[own] - pos + left)[:, None])] = 0
+            text[(column < rows["lo"][:, None]) | (column >= rows["hi"][:, None].astype(int) + width)] = 0  # what none of its windows needs
             rows["text"] = text
             rows["hot"] = ~warm
             parts.append(rows)
@@ -311,7 +312,9 @@ def repeated_spans(
         rows, local = undecided(np.concatenate(parts))
         single, more = undecided(alone(rows[rows["hot"]]))
         rows, local = np.concatenate([rows[~rows["hot"]], single]), np.concatenate([local, more])
-        out += by_bucket(rows, bucket_of(rows["hash"], n), block, pack)
+        bucket = bucket_of(rows["hash"], n)
+        rows["hash"] = 0  # the bucket tells anchors apart by their symbols
+        out += by_bucket(rows, bucket, block, pack)
         return messages(out + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
 
     def whole_spans(table: pa.Table, known: set[bytes]) -> np.ndarray:
@@ -352,6 +355,8 @@ def repeated_spans(
                 origins.append(np.full(len(parts[-1]), origin))
         if parts:
             rows, origin = np.concatenate(parts), np.concatenate(origins)
+            anchor = np.ascontiguousarray(rows["text"][:, left : left + windows.reach])
+            rows["hash"] = group_rows(anchor.view(np.uint8).reshape(len(rows), -1))
             order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
             rows, origin = rows[order], origin[order]
             flags = resolve(rows, windows) & valid(rows, left)
