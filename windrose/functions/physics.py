@@ -31,11 +31,11 @@ def wind_direction(u: Column, v: Column) -> Column:
 
 
 def crosswind(speed: Column, direction: Column, heading: Column) -> Column:
-    return F.round(F.abs(speed * F.sin(F.radians(direction - heading))), 1)
+    return F.round(F.abs(speed * F.sin(F.radians(direction - heading))), 1) + 0.0
 
 
 def headwind(speed: Column, direction: Column, heading: Column) -> Column:
-    return F.round(speed * F.cos(F.radians(direction - heading)), 1)
+    return F.round(speed * F.cos(F.radians(direction - heading)), 1) + 0.0
 
 
 def dewpoint(celsius: Column, humidity: Column) -> Column:

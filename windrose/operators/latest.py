@@ -28,5 +28,5 @@ def runs(df: DataFrame, keys: list[str], index: str) -> DataFrame:
 
 def preceding(df: DataFrame, keys: list[str], time: str, wanted: Column, value: str) -> Column:
     """The latest ``value`` of a row that is not ``wanted`` and strictly before this one in time."""
-    w = Window.partitionBy(*keys).orderBy(F.col(time).cast("timestamp").cast("double")).rangeBetween(Window.unboundedPreceding, -0.000001)
+    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(~wanted, F.col(value)), ignorenulls=True).over(w)
