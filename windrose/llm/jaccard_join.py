@@ -180,7 +180,7 @@ def linked(members: DataFrame, sizes: DataFrame, fragments: DataFrame, percent:
         tested = tested.unionByName(pairs)
         members = members.select("key", "doc").join(lead, ["key", "doc"], "left_anti")
         roots = connected(edges)
-        few *= 4
+        few *= 8
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

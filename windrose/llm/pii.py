@@ -78,7 +78,7 @@ def luhn(card: Column) -> Column:
 
 def name_like(entity: Column, digits: Column) -> Column:
     """Title, then as many new names, in the same script and of the title's gender."""
-    title = F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})", 0)
+    title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})(?= )", 0)
     gender = F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
