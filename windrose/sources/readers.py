@@ -14,10 +14,10 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> Dat
 
 def bulletins(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """(file, report) of text bulletins: reports end at "=", those over 1 MB are left out."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if since:
         reader = reader.option("modifiedAfter", since)
-    files = reader.text(path).where(F.length("value") <= 1_000_000).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = reader.text(path, wholetext=True).where(F.length("value") <= 1_000_000).select(F.col("_metadata.file_path").alias("file"), "value")
     reports = files.select("file", F.explode(F.split("value", "=")).alias("report"))
     return reports.select("file", F.trim(F.regexp_replace("report", r"\s+", " ")).alias("report")).where("report != ''")
 
