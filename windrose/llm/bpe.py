@@ -44,14 +44,20 @@ class Encoder:
     def merge(self, parts: list[bytes]) -> tuple[int, ...]:
         """The plain definition: merge the leftmost pair of lowest rank until none has a rank."""
         ranks, none = self.ranks, len(self.ranks) + 1
-        while len(parts) > 1:
-            scores = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        scores = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
             best = min(scores)
             if best == none:
                 break
             at = scores.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            # only the merged part's own two pairs have changed
+            if at < len(scores):
+                scores[at] = ranks.get(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+        return tuple([ranks[p] for p in parts])
 
     def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of a few neighbouring tokens."""
