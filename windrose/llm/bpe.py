@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 #: Pieces and joins that a worker remembers before it starts afresh: bounds its memory.
 MEMO = 300_000
-LEAF = 3
+#: Halves of at most so many bytes are merged directly.
+LEAF = 6
+#: Tree nodes of at most so many bytes are remembered: longer ones seldom return but as whole pieces, which are remembered by themselves.
+NODE = 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +42,7 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.trees: dict[bytes, tuple[int, ...]] = {}
-        self.seams: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.windows: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def merge(self, parts: list[bytes]) -> tuple[int, ...]:
         """The plain definition: merge the leftmost pair of lowest rank until none has a rank."""
@@ -61,18 +64,20 @@ class Encoder:
 
     def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of a few neighbouring tokens."""
-        text = b"".join([self.tokens[i] for i in ids])
-        return self.merge([text[i : i + 1] for i in range(len(text))])
+        new = self.windows.get(ids)
+        if new is None:
+            text = b"".join([self.tokens[i] for i in ids])
+            new = self.merge([text[i : i + 1] for i in range(len(text))])
+            if len(self.windows) >= MEMO:
+                self.windows.clear()
+            self.windows[ids] = new
+        return new
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
         seam = (left[-1], right[0])
-        new = self.seams.get(seam)
-        if new is None:
-            if len(self.seams) >= MEMO:
-                self.seams.clear()
-            new = self.seams[seam] = self.window(seam)
+        new = self.window(seam)
         if new == seam:
             return left + right
         a = b = 1
@@ -89,14 +94,15 @@ class Encoder:
         """Encode both halves and join them."""
         known = self.trees.get(text)
         if known is None:
-            if text in self.ranks:
-                known = (self.ranks[text],)
+            rank = self.ranks.get(text)
+            if rank is not None:
+                known = (rank,)
             elif len(text) <= LEAF:
                 known = self.merge([text[i : i + 1] for i in range(len(text))])
             else:
                 half = len(text) // 2
                 known = self.join(self.tree(text[:half]), self.tree(text[half:]))
-            if len(text) <= 64:
+            if len(text) <= NODE:
                 if len(self.trees) >= MEMO:
                     self.trees.clear()
                 self.trees[text] = known
@@ -163,7 +169,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         values = np.concatenate(flat) if flat else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
-    return df.withColumn(ids, encoded(F.col(text)))
+    # Spark would encode again for each column made of the ids, and again within ``decode``; it doesn't repeat what may not repeat itself
+    return df.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
