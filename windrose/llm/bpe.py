@@ -12,7 +12,6 @@ equal texts get equal ids; other columns of the input are kept, and an existing
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -131,14 +130,27 @@ class TextEncoder:
         return out
 
 
-def concatenate(parts: list[bytes]) -> bytes:
-    """Decoding joins neighbours level by level up the tree."""
-    while len(parts) > 1:
-        parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
-    return parts[0] if parts else b""
+class TokenBytes:
+    """The bytes of tokens, gathered by rank: concatenation is associative, so all levels of the tree are one gather."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_rank: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            by_rank[rank] = token
+        self.tokens = pa.array(by_rank, pa.large_binary())
+
+    def __call__(self, ids: pa.Array) -> bytes:
+        if not len(ids):
+            return b""
+        found = self.tokens.take(ids)  # raises for an id beyond the last
+        if found.null_count:
+            raise ValueError("unknown token id")
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+        return found.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
 
 
 _ENCODERS: dict[tuple, TextEncoder] = {}
+_DECODERS: dict[tuple, TokenBytes] = {}
 
 
 def _encoder(ranks: Broadcast, pattern: str) -> TextEncoder:
@@ -179,10 +191,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
-        tokens = _encoder(ranks, "").encoder.tokens
-        out: Iterable[bytes | None] = (
-            None if not v.is_valid else concatenate([tokens[i] for i in v.values.to_pylist()]) for v in column
-        )
-        return pa.array(list(out), pa.binary())
+        key = (ranks.id if hasattr(ranks, "id") else id(ranks), None)
+        if key not in _DECODERS:
+            _DECODERS.clear()
+            _DECODERS[key] = TokenBytes(ranks.value)
+        decoder = _DECODERS[key]
+        return pa.array([decoder(v.values) if v.is_valid else None for v in column], pa.binary())
 
     return df.withColumn(decoded, bytes_of(F.col(ids)))
