@@ -20,8 +20,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces and joins that a worker remembers before it starts afresh: bounds its memory.
+#: Pieces, and tree nodes and windows, that a worker remembers before it starts afresh: bounds its memory.
 MEMO = 300_000
+MEMO_INNER = 100_000
 #: Halves of at most so many bytes are merged directly.
 LEAF = 6
 #: Tree nodes of at most so many bytes are remembered: longer ones seldom return but as whole pieces, which are remembered by themselves.
@@ -67,7 +68,7 @@ class Encoder:
         if new is None:
             text = b"".join([self.tokens[i] for i in ids])
             new = self.merge([text[i : i + 1] for i in range(len(text))])
-            if len(self.windows) >= MEMO:
+            if len(self.windows) >= MEMO_INNER:
                 self.windows.clear()
             self.windows[ids] = new
         return new
@@ -102,7 +103,7 @@ class Encoder:
                 half = len(text) // 2
                 known = self.join(self.tree(text[:half]), self.tree(text[half:]))
             if len(text) <= NODE:
-                if len(self.trees) >= MEMO:
+                if len(self.trees) >= MEMO_INNER:
                     self.trees.clear()
                 self.trees[text] = known
         return known
