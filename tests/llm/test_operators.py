@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import os
 import random
 import sys
@@ -164,3 +166,14 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() < docs.count() and out.where("not round_trip").isEmpty()
     assert corpus_pipeline.quality(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_parities_never_differ_more_than_sets():
+    draw = np.random.default_rng(5)
+    for size in (1, 40, 130, 900):
+        for shared in {0, size // 2, size}:
+            common, left, right = (draw.integers(0, 2**63, k, dtype=np.uint64) for k in (shared, size - shared, 2 * size))
+            a, b = (np.unique(np.concatenate([common, own])) for own in (left, right[: size - shared + size // 3]))
+            least = jaccard_join.differing(pd.Series([jaccard_join.parity_of(a)]), pd.Series([jaccard_join.parity_of(b)]))[0]
+            assert least <= len(np.setxor1d(a, b))
+    assert jaccard_join.differing(pd.Series([jaccard_join.parity_of(a)]), pd.Series([jaccard_join.parity_of(a)]))[0] == 0

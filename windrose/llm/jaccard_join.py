@@ -3,7 +3,7 @@
 The order is that of 64-bit hashes. It is cut into fragments, and documents whose sets agree in a whole
 fragment are candidates: two sets of similarity ``percent`` differ in at most D n-grams, D from their
 sizes, so of D + 2 fragments at least two agree. Overlaps of candidate pairs are counted fragment by fragment, separately, and
-summed per pair. Sizes are put in classes so narrow that only neighbouring classes can link; each
+summed per pair, after pairs that parities of their sets prove too different have gone. Sizes are put in classes so narrow that only neighbouring classes can link; each
 class is cut for itself and for its lower neighbour.
 
 A group of candidates never makes all its pairs: in each round the smallest few members are compared with
@@ -29,7 +29,7 @@ from .repeats import MESSAGE, blocks, bucket_of, by_bucket, messages, ordered, p
 COUNTED = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-PROFILE = "doc long, no_id boolean, n long, low long, high long, keys array<long>, fragments array<binary>"
+PROFILE = "doc long, no_id boolean, n long, low long, high long, keys array<long>, fragments array<binary>, parity binary"
 
 
 def ngram_sets(table: pa.Table, n: int) -> list[np.ndarray]:
@@ -88,6 +88,25 @@ def totals(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.int64(np.add.reduce(mix(grams + np.uint64(k)), dtype=np.uint64).view(np.int64))) if len(grams) else 0 for k in (1, 2))
 
 
+def parity_of(grams: np.ndarray) -> bytes:
+    """For each of at least twice as many bits as n-grams: whether an odd number of n-grams falls on it."""
+    bits = max(256, 1 << (2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bits in which parities differ: no more than n-grams that only one of two sets has, since each turns one bit."""
+
+    def one(x: bytes, y: bytes) -> int:
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        while len(x) != len(y):  # the longer one is folded
+            x, y = (x, y) if len(x) > len(y) else (y, x)
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return int(np.bitwise_count(x ^ y).sum())
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
 def heads_of(table: pa.Table, n: int) -> tuple[list[np.ndarray], list[tuple], list[bool]]:
     """Sets, their sums, and whether the row is the block's first of its set."""
     sets = ngram_sets(table, n)
@@ -119,20 +138,20 @@ def candidates(docs: DataFrame, id: str, text: str, n: int, percent: int) -> Dat
         sizes = Sizes(percent, max(map(len, sets), default=0))
         values, _ = byte_strings(answers.column("blob"))
         wanted = np.sort(values.view(np.uint64) >> np.uint64(1)) if len(values) else np.empty(0, np.uint64)
-        keys, fragments = [], []
+        keys, fragments, parities = [], [], []
         for grams, head in zip(sets, first):
             mine = np.intersect1d(sizes.keys(grams), wanted, assume_unique=True) if head and len(wanted) else wanted[:0]
             if not len(mine):
-                keys.append(None), fragments.append(None)
+                keys.append(None), fragments.append(None), parities.append(None)
                 continue
-            keys.append(mine.view(np.int64))
+            keys.append(mine.view(np.int64)), parities.append(parity_of(grams))
             cut = np.searchsorted(bucket_of(grams, COUNTED), np.arange(COUNTED + 1))
             fragments.append([grams[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])
         size, low, high = zip(*sums) if sums else ((), (), ())
         return pa.table(
             [table.column("doc"), table.column("no_id"), pa.array(size, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(fragments, pa.list_(pa.binary()))],
-            ["doc", "no_id", "n", "low", "high", "keys", "fragments"],
+             pa.array(keys, pa.list_(pa.int64())), pa.array(fragments, pa.list_(pa.binary())), pa.array(parities, pa.binary())],
+            ["doc", "no_id", "n", "low", "high", "keys", "fragments", "parity"],
         )
 
     answers = repeated_keys(own.groupBy("block").applyInArrow(screen, MESSAGE))
@@ -153,8 +172,16 @@ def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def linked(members: DataFrame, sizes: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of documents in one component with a smaller one. members: (key, doc), sizes: (doc, n)."""
+def near(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) but for those whose parities differ in more bits than linked sets can in n-grams."""
+    own = heads.select("doc", "n", "parity")
+    both = pairs.join(own.toDF("a", "size_a", "left"), "a").join(own.toDF("b", "size_b", "right"), "b")
+    least = both.select("a", "b", "size_a", "size_b", F.pandas_udf(differing, "long")("left", "right").alias("least"))
+    return least.where((100 + percent) * F.col("least") <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+
+
+def linked(members: DataFrame, heads: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of documents in one component with a smaller one. members: (key, doc), heads: (doc, n, parity)."""
     spark = members.sparkSession
     edges, few = spark.createDataFrame([], "a long, b long"), 1
     tested = edges
@@ -173,9 +200,8 @@ def linked(members: DataFrame, sizes: DataFrame, fragments: DataFrame, percent:
         first = lead.join(members, ["key", "doc"]).select("key", F.col("doc").alias("a"), F.col("root").alias("own"))
         pairs = members.join(first, "key").where("root != own and doc > a").select("a", F.col("doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        counted = count_overlaps(pairs, fragments)
-        size = sizes.select("doc", "n")
-        whole = counted.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+        left = materialize(near(pairs, heads, percent))
+        whole = count_overlaps(left.select("a", "b"), fragments).join(left, ["a", "b"])
         edges = materialize(edges.unionByName(whole.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")))
         tested = tested.unionByName(pairs)
         members = members.select("key", "doc").join(lead, ["key", "doc"], "left_anti")
@@ -189,7 +215,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int
     name = ["n", "low", "high"]
     classes = table.groupBy(*name).agg(F.min("doc").alias("rep"))
     heads = table.where(F.col("keys").isNotNull()).join(classes, name).where("doc = rep").dropDuplicates(["doc"])
-    heads = materialize(heads.select("doc", "n", "keys", "fragments"))
+    heads = materialize(heads.select("doc", "n", "keys", "fragments", "parity"))
     keyed = heads.select(F.explode("keys").alias("key"), "doc")
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("least"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"))
     one = groups.where("size > 1").groupBy("size", "least", "all").agg(F.min("key").alias("key"))  # of keys with the same members
