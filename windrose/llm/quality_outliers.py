@@ -3,18 +3,23 @@
 Statistics of each text become a vector of four transformed rates. For each language and source a
 minimum-covariance-determinant estimate is found by concentration steps: from medians and absolute
 deviations, again and again the mean and covariance of the ``SUBSET`` share of rows that are nearest.
+A group of fewer than ``LEAST`` documents is judged by the estimate of its whole language, and if that has fewer too,
+by the one of the whole corpus; both come from the same steps over all their documents, and only where a small group needs them.
 A document is rejected if its squared Mahalanobis distance, scaled to the median that the chi-square law with 4
 degrees of freedom has, exceeds ``CUTOFF``. Documents that fail the base rules are rejected and in no estimate.
 
 Estimates are sums by group that combine before the shuffle, over the statistics only; the texts are read once and never shuffled.
 
-Cases: a null text has no words and fails; null language or source are groups of their own; a group of fewer than ``LEAST``
-documents gives no estimate and its documents are kept if the base rules hold; a statistic that
+Cases: a null text has no words and fails; null language or source are groups of their own; only in a corpus of fewer than ``LEAST``
+documents that pass the base rules is there no estimate, and they are kept; a statistic that
 doesn't vary has ``FLOOR`` as its deviation; an empty table gives no rows; repeated rows count each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ SYMBOLS = "#*$%&|<>"
 #: 0.9999 quantile and median of the chi-square law with 4 degrees of freedom.
 CUTOFF, MEDIAN = 23.51, 3.357
 SUBSET, STEPS, LEAST = 0.75, 3, 30
+#: Width of a group (0 language and source, 1 language, 2 all), and its language and source as far as they count.
+KEYS, FOUND = ("g", "g0", "g1"), ("h", "h0", "h1")
 #: Least deviations of the four transformed rates.
 FLOOR = (0.08, 0.5, 0.5, 0.5)
 _P = range(4)
@@ -91,17 +98,39 @@ def distance() -> Column:
     return sum((y * y for y in solved), F.lit(0.0))
 
 
+def same(left: DataFrame, right: DataFrame, a: tuple[str, ...] = KEYS, b: tuple[str, ...] = FOUND) -> Column:
+    return reduce(and_, (left[x].eqNullSafe(right[y]) for x, y in zip(a, b)))
+
+
+def named(df: DataFrame, *others: str) -> DataFrame:
+    """The keys of a group under the names that a join with its rows needs."""
+    return df.select(*[F.col(x).alias(y) for x, y in zip(KEYS, FOUND)], *others)
+
+
+def scopes(rows: DataFrame) -> DataFrame:
+    """For each language l0 and source l1: ``by``, the group that judges its rows, and ``fits``, those whose estimates its rows enter."""
+    sizes = rows.groupBy(F.col("g0").alias("l0"), F.col("g1").alias("l1")).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    langs = sizes.groupBy(F.col("l0").alias("m0")).agg(F.sum("n").alias("m"), F.bool_or(F.col("n") < LEAST).alias("short"))
+    everything = langs.agg(F.coalesce(F.bool_or(F.col("short") & (F.col("m") < LEAST)), F.lit(False)).alias("wide"))
+    t = sizes.join(langs, sizes["l0"].eqNullSafe(langs["m0"])).crossJoin(F.broadcast(everything))
+    none = F.lit(None).cast("string")
+    group = lambda g, g0, g1: F.struct(F.lit(g).alias("g"), g0.cast("string").alias("g0"), g1.cast("string").alias("g1"))
+    own, lang, whole = group(0, F.col("l0"), F.col("l1")), group(1, F.col("l0"), none), group(2, none, none)
+    enough, enough_lang = F.col("n") >= LEAST, F.col("m") >= LEAST
+    fits = F.array(F.when(enough, own), F.when(F.col("short") & enough_lang, lang), F.when(F.col("wide"), whole))
+    return t.select("l0", "l1", F.when(enough, own).when(enough_lang, lang).otherwise(whole).alias("by"), F.filter(fits, lambda x: x.isNotNull()).alias("fits"))
+
+
 def located(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Rows with ``d2``, their squared distance by the estimate of their group (null without one)."""
-    on = rows["g0"].eqNullSafe(estimates["h0"]) & rows["g1"].eqNullSafe(estimates["h1"])
-    return rows.join(estimates, on, "left").withColumn("d2", distance()).drop("h0", "h1")
+    return rows.join(estimates, same(rows, estimates), "left").withColumn("d2", distance()).drop(*FOUND)
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """Mean and triangle of each group."""
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in _P]
     products = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in _P for j in range(i + 1)]
-    found = rows.groupBy("g0", "g1").agg(*sums, *products)
+    found = rows.groupBy(*KEYS).agg(*sums, *products)
     low = {(i, j): F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i in _P for j in range(i + 1)}
     tri = []
     for i in _P:
@@ -109,31 +138,34 @@ def estimate(rows: DataFrame) -> DataFrame:
             rest = low[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
             tri.append(f"l{i}{j}")
-    return found.select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), *[f"m{i}" for i in _P], *tri)
+    return named(found, *[f"m{i}" for i in _P], *tri)
 
 
 def start(rows: DataFrame) -> DataFrame:
     """Medians and scaled absolute deviations of each group, as a first estimate."""
-    mids = rows.groupBy("g0", "g1").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in _P]).where(F.col("n") >= LEAST).select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), *[f"m{i}" for i in _P])
-    on = rows["g0"].eqNullSafe(mids["h0"]) & rows["g1"].eqNullSafe(mids["h1"])
-    away = rows.join(mids, on).groupBy("h0", "h1").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _P], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in _P])
+    mids = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in _P]).where(F.col("n") >= LEAST)
+    mids = named(mids, *[f"m{i}" for i in _P])
+    away = rows.join(mids, same(rows, mids)).groupBy(*FOUND).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _P], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in _P])
     tri = [(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _P for j in range(i + 1)]
-    return away.select("h0", "h1", *[f"m{i}" for i in _P], *tri)
+    return away.select(*FOUND, *[f"m{i}" for i in _P], *tri)
 
 
 def quality_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """``docs`` without the text, with the statistics, base_failed, distance (null without an estimate) and kept."""
     table = materialize(statistics(docs, text).withColumn("base_failed", base_failed()))
     rows = table.select("*", F.col(groups[0]).alias("g0"), F.col(groups[1]).alias("g1"), *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    used = rows.where(~F.col("base_failed")).select("g0", "g1", *[f"x{i}" for i in _P])
+    by = materialize(scopes(rows))
+    rows = rows.join(by, same(rows, by, KEYS[1:], ("l0", "l1"))).drop("g0", "g1", "l0", "l1")
+    x = [f"x{i}" for i in _P]
+    used = materialize(rows.where(~F.col("base_failed")).select(F.explode("fits").alias("fit"), *x).select("fit.*", *x))
     now = materialize(start(used))
     for _ in range(STEPS):
         near = located(used, now)
-        radius = near.groupBy("g0", "g1").agg(F.percentile_approx("d2", SUBSET).alias("radius")).select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), "radius")
-        inner = near.join(radius, near["g0"].eqNullSafe(radius["h0"]) & near["g1"].eqNullSafe(radius["h1"])).where("d2 <= radius")
-        now = materialize(estimate(inner.select("g0", "g1", *[f"x{i}" for i in _P])))
-    middle = located(used, now).groupBy("g0", "g1").agg(F.percentile_approx("d2", 0.5).alias("middle"))
-    scale = now.join(middle, now["h0"].eqNullSafe(middle["g0"]) & now["h1"].eqNullSafe(middle["g1"])).drop("g0", "g1")
-    out = located(rows, scale).withColumn("distance", F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN)))
+        radius = named(near.groupBy(*KEYS).agg(F.percentile_approx("d2", SUBSET).alias("radius")), "radius")
+        inner = near.join(radius, same(near, radius)).where("d2 <= radius")
+        now = materialize(estimate(inner.select(*KEYS, *x)))
+    middle = located(used, now).groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5).alias("middle"))
+    scale = now.join(middle, same(middle, now)).drop(*KEYS)
+    out = located(rows.select("*", "by.*"), scale).withColumn("distance", F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN)))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return out.withColumn("kept", kept).select(*table.columns, "distance", "kept")
