@@ -4,7 +4,7 @@ Detected are e-mail addresses, IPv4 addresses, payment cards, telephone numbers,
 tokens and titled personal names. Each distinct entity gets one surrogate everywhere, so that coreference holds: letters and
 digits come from a keyed hash, with the entity's own case, separators and length; cards pass the Luhn check,
 addresses stay valid, names keep the title's gender and the script. Surrogates that meet one another or a real
-entity are drawn again until all are distinct.
+entity are drawn again until all are distinct; each draw makes names and e-mail addresses one syllable or letter longer.
 
 Plan: entities are made distinct with a partial aggregation; drawing again touches only what collided; the mapping
 joins the mentions (AQE splits hot entities) and comes back to its documents by one join.
@@ -76,17 +76,17 @@ def luhn(card: Column) -> Column:
     return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), last.cast("string"))
 
 
-def name_like(entity: Column, digits: Column) -> Column:
-    """Title, then as many new names, in the same script and of the title's gender."""
+def name_like(entity: Column, digits: Column, extra: int = 0) -> Column:
+    """Title, then as many new names, in the same script and of the title's gender; ``extra`` more syllables make more names."""
     title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})(?= )", 0)
     gender = F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
     def drawn(at: int) -> Column:
-        out = None
+        out, values = None, [number(digits, at + 8 * k) for k in range(3)] + [number(F.sha2(F.concat(digits, F.lit(f" {k}")), 256), at % 32) for k in range(extra)]
         for s, parts in SYLLABLES.items():
             table = F.array(*map(F.lit, parts))
-            made = F.initcap(F.concat(*[F.get(table, (number(digits, at + 8 * k) % len(parts)).cast("int")) for k in range(3)]))
+            made = F.initcap(F.concat(*[F.get(table, (x % len(parts)).cast("int")) for x in values]))
             out = F.when(script == s, made) if out is None else out.when(script == s, made)
         return out
 
@@ -95,9 +95,11 @@ def name_like(entity: Column, digits: Column) -> Column:
     return F.concat(title, F.lit(" "), drawn(1), ending, F.when(two, F.concat(F.lit(" "), drawn(33))).otherwise(""))
 
 
-def surrogate(kind: Column, entity: Column, digits: Column) -> Column:
+def surrogate(kind: Column, entity: Column, digits: Column, extra: int = 0) -> Column:
+    """The surrogate of a draw; ``extra`` makes names and e-mail addresses, which may be short, longer, so that none run out."""
+    more = F.translate(F.substring(F.sha2(digits, 256), 1, extra), "0123456789abcdef", "etaoinshrdlucmfw")
     top = F.regexp_extract(entity, r"\.[A-Za-z]+$", 0)
-    email = F.concat(like(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), digits), top)
+    email = F.concat(more, like(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), digits), top)
     ip = F.concat_ws(".", (number(digits, 1) % 223 + 1).cast("string"), *[(number(digits, 8 * k + 1) % 254 + 1).cast("string") for k in (1, 2, 3)])
     decimals = F.translate(digits, "abcdef", "394716")
     card = luhn(F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.when(i == 0, "4").otherwise(F.substr(decimals, i + 1, F.lit(1)))).otherwise(c)), ""))
@@ -107,7 +109,7 @@ def surrogate(kind: Column, entity: Column, digits: Column) -> Column:
     token = F.concat(prefix, like(F.substr(entity, F.length(prefix) + 1), digits))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret)
-        .when(kind == "token", token).when(kind == "name", name_like(entity, digits)).otherwise(like(entity, digits))
+        .when(kind == "token", token).when(kind == "name", name_like(entity, digits, extra)).otherwise(like(entity, digits))
     )
 
 
@@ -117,7 +119,7 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     pending = materialize(entities.select("entity", kind_of(F.col("entity")).alias("kind")))
     done = None
     for attempt in range(ROUNDS):
-        drawn = materialize(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), stream(key, F.col("entity"), F.lit(attempt)))))
+        drawn = materialize(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), stream(key, F.col("entity"), F.lit(attempt)), attempt)))
         taken = known if done is None else known.unionByName(done.select("surrogate"))
         winner = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity")).join(taken, "surrogate", "left_anti")
         good = materialize(drawn.join(winner, ["surrogate", "entity"], "left_semi").select("entity", "kind", "surrogate"))
