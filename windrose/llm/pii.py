@@ -1,12 +1,14 @@
 """Surrogates for personal data. DataFrame functions only.
 
 Detected are e-mail addresses, IPv4 addresses, payment cards, telephone numbers, hexadecimal secrets, key
-tokens and titled personal names. Each distinct entity gets one surrogate everywhere, so that coreference holds: letters and
-digits come from a keyed hash, with the entity's own case, separators and length; cards pass the Luhn check,
-addresses stay valid, names keep the title's gender and the script. Surrogates that meet one another or a real
+tokens and titled personal names. Each distinct entity gets one surrogate everywhere, so that coreference holds: an entity is an
+e-mail address or hexadecimal secret in lower case, the bare digits of a number, or one word of a name apart from its title. Letters and
+digits come from a keyed hash, with each mention's own case and separators; cards pass the Luhn check,
+addresses stay valid. Titles stay; a name word keeps the script, and the gender if all titles right before it agree.
+Where a document has a titled name, the words of that name are also replaced wherever they stand without a title. Surrogates that meet one another or a real
 entity are drawn again until all are distinct; each draw makes names and e-mail addresses one syllable or letter longer.
 
-Plan: entities are made distinct with a partial aggregation; drawing again touches only what collided; the mapping
+Plan: mentions and their entities are made distinct with partial aggregations; drawing again touches only what collided; the mapping
 joins the mentions (AQE splits hot entities) and comes back to its documents by one join.
 
 Cases: a null text stays null; texts without entities are unchanged; rows that share a ``doc_id``
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Titles by gender, and syllables of surrogate names by script and gender.
-MALE, FEMALE, NEUTRAL = r"Mr\.?|Herr|Monsieur|Señor|Sr\.", r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.", r"Dr\.?|Prof\.?"
+MALE, FEMALE, NEUTRAL = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|[Гг]-н|[Гг]осподин", r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|[Гг]-жа|[Гг]оспожа", r"Dr\.?|Prof\.?|[Дд]октор|[Дд]-р|[Пп]роф\.|[Пп]рофессор"
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma".split(), "cyrillic": "ба бе бо да де до фа фе га го ха хе жа жо ка ке ла ле ло ма".split()}
 ENDINGS = {("latin", "m"): "rt", ("latin", "f"): "na", ("latin", "n"): "li", ("cyrillic", "m"): "р", ("cyrillic", "f"): "на", ("cyrillic", "n"): "ли"}
 KINDS = {
@@ -31,9 +33,11 @@ KINDS = {
     "phone": r"(?:\+\d{1,3}[ \-]?)?(?:\(\d{3}\)[ \-]?|\b\d{3}[ \-.])\d{3}[\-. ]\d{4}\b",
     "secret": r"\b[0-9a-fA-F]{32,128}\b",
     "token": r"\b(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xoxb)[_\-][A-Za-z0-9]{16,})\b",
-    "name": rf"\b(?:{MALE}|{FEMALE}|{NEUTRAL}) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:{FEMALE}|{MALE}|{NEUTRAL}) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A word that may be a name without its title.
+BARE = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}_])"
 ROUNDS = 64
 #: Two control characters: what parts a text's mentions, and what stands for such a character of the text.
 MARK, HOLD = "\u0001", "\u0002"
@@ -76,26 +80,28 @@ def luhn(card: Column) -> Column:
     return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), last.cast("string"))
 
 
-def name_like(entity: Column, digits: Column, extra: int = 0) -> Column:
-    """Title, then as many new names, in the same script and of the title's gender; ``extra`` more syllables make more names."""
-    title = F.regexp_extract(entity, rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})(?= )", 0)
-    gender = F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def title_of(mention: Column) -> Column:
+    return F.regexp_extract(mention, rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})(?= )", 0)
 
-    def drawn(at: int) -> Column:
-        out, values = None, [number(digits, at + 8 * k) for k in range(3)] + [number(F.sha2(F.concat(digits, F.lit(f" {k}")), 256), at % 32) for k in range(extra)]
-        for s, parts in SYLLABLES.items():
-            table = F.array(*map(F.lit, parts))
-            made = F.initcap(F.concat(*[F.get(table, (x % len(parts)).cast("int")) for x in values]))
-            out = F.when(script == s, made) if out is None else out.when(script == s, made)
-        return out
 
+def gender_of(title: Column) -> Column:
+    return F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m")
+
+
+def name_like(word: Column, gender: Column, digits: Column, extra: int = 0) -> Column:
+    """A new name in the same script and of the gender; ``extra`` more syllables make more names."""
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    values = [number(digits, 1 + 8 * k) for k in range(3)] + [number(F.sha2(F.concat(digits, F.lit(f" {k}")), 256), 1) for k in range(extra)]
+    out = None
+    for s, parts in SYLLABLES.items():
+        table = F.array(*map(F.lit, parts))
+        made = F.initcap(F.concat(*[F.get(table, (x % len(parts)).cast("int")) for x in values]))
+        out = F.when(script == s, made) if out is None else out.when(script == s, made)
     ending = F.coalesce(*[F.when((script == s) & (gender == g), e) for (s, g), e in ENDINGS.items()])
-    two = F.size(F.split(F.substr(entity, F.length(title) + 2), " ")) > 1
-    return F.concat(title, F.lit(" "), drawn(1), ending, F.when(two, F.concat(F.lit(" "), drawn(33))).otherwise(""))
+    return F.concat(out, ending)
 
 
-def surrogate(kind: Column, entity: Column, digits: Column, extra: int = 0) -> Column:
+def surrogate(kind: Column, entity: Column, gender: Column, digits: Column, extra: int = 0) -> Column:
     """The surrogate of a draw; ``extra`` makes names and e-mail addresses, which may be short, longer, so that none run out."""
     more = F.translate(F.substring(F.sha2(digits, 256), 1, extra), "0123456789abcdef", "etaoinshrdlucmfw")
     top = F.regexp_extract(entity, r"\.[A-Za-z]+$", 0)
@@ -104,27 +110,49 @@ def surrogate(kind: Column, entity: Column, digits: Column, extra: int = 0) -> C
     decimals = F.translate(digits, "abcdef", "394716")
     card = luhn(F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.when(i == 0, "4").otherwise(F.substr(decimals, i + 1, F.lit(1)))).otherwise(c)), ""))
     secret = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.substr(digits, i + 1, F.lit(1))), "")
-    secret = F.when(entity.rlike("[A-F]"), F.upper(secret)).otherwise(secret)
     prefix = F.regexp_extract(entity, r"^(?:AKIA|(?:sk|pk|ghp|xoxb)[_\-])", 0)
     token = F.concat(prefix, like(F.substr(entity, F.length(prefix) + 1), digits))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret)
-        .when(kind == "token", token).when(kind == "name", name_like(entity, digits, extra)).otherwise(like(entity, digits))
+        .when(kind == "token", token).when(kind == "name", name_like(entity, gender, digits, extra)).otherwise(like(entity, digits))
     )
 
 
+def entities_of(mentions: DataFrame) -> DataFrame:
+    """Distinct mentions with kind, and for each of their entities: entity, place ``at`` and the gender of a title right before it."""
+    mention, kind = F.col("mention"), F.col("kind")
+    words = F.split(F.substr(mention, F.length(title_of(mention)) + 2), " ")
+    one = F.when(kind.isin("email", "secret"), F.lower(mention)).when(kind.isin("card", "phone"), F.regexp_replace(mention, "[^0-9]", "")).otherwise(mention)
+    out = mentions.select("mention").distinct().withColumn("kind", kind_of(mention))
+    out = out.select("mention", "kind", F.posexplode(F.when(kind == "name", words).otherwise(F.array(one))).alias("at", "entity"))
+    return out.withColumn("gender", F.when((kind == "name") & (F.col("at") == 0), gender_of(title_of(mention))))
+
+
+def rendered(mention: Column, kind: Column, drawn: Column) -> Column:
+    """The mention with the surrogate of its entity (of its words, in order) in its own case and separators."""
+    first = drawn[0]
+    shift = F.length(first) - F.length(mention)
+    upper = lambda i: (i >= shift) & F.substr(mention, F.greatest(i - shift, F.lit(0)) + 1, F.lit(1)).rlike(r"\p{Lu}")
+    email = F.array_join(F.transform(F.split(first, ""), lambda c, i: F.when(upper(i), F.upper(c)).otherwise(c)), "")
+    digit = lambda i: F.substr(first, F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))
+    digits = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9]"), digit(i)).otherwise(c)), "")
+    secret = F.when(mention.rlike("[A-F]"), F.upper(first)).otherwise(first)
+    name = F.concat_ws(" ", title_of(mention), F.array_join(drawn, " "))
+    return F.when(kind == "email", email).when(kind.isin("card", "phone"), digits).when(kind == "secret", secret).when(kind == "name", name).otherwise(first)
+
+
 def mapping(entities: DataFrame, key: str) -> DataFrame:
-    """(entity, kind, surrogate) of distinct entities; no two surrogates are equal and none is an entity."""
-    known = entities.select(F.col("entity").alias("surrogate"))
-    pending = materialize(entities.select("entity", kind_of(F.col("entity")).alias("kind")))
+    """(kind, entity, surrogate) of distinct entities (kind, entity, gender); no two surrogates are equal and none is an entity."""
+    pending = materialize(entities)
+    known = pending.select(F.col("entity").alias("surrogate")).distinct()
     done = None
     for attempt in range(ROUNDS):
-        drawn = materialize(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), stream(key, F.col("entity"), F.lit(attempt)), attempt)))
+        drawn = materialize(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), stream(key, F.col("entity"), F.lit(attempt)), attempt)))
         taken = known if done is None else known.unionByName(done.select("surrogate"))
-        winner = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity")).join(taken, "surrogate", "left_anti")
-        good = materialize(drawn.join(winner, ["surrogate", "entity"], "left_semi").select("entity", "kind", "surrogate"))
+        winner = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "entity")).alias("w")).select("surrogate", "w.*").join(taken, "surrogate", "left_anti")
+        good = materialize(drawn.join(winner, ["surrogate", "kind", "entity"], "left_semi").select("kind", "entity", "surrogate"))
         done = good if done is None else done.unionByName(good)
-        pending = drawn.select("entity", "kind").join(good, "entity", "left_anti")
+        pending = drawn.drop("surrogate").join(good, ["kind", "entity"], "left_anti")
         if pending.isEmpty():
             return done
         pending = materialize(pending)
@@ -134,16 +162,27 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
 def surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", found: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text`` and the number of mentions in ``found``."""
     mentions = materialize(
-        docs.where(F.col(text).rlike(ANY)).select(F.col(id).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("entity")).distinct()
+        docs.where(F.col(text).rlike(ANY)).select(F.col(id).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("mention")).distinct()
+    )
+    parts = materialize(entities_of(mentions))
+    agreed = F.when(F.min("gender") == F.max("gender"), F.min("gender"))
+    names = mapping(parts.groupBy("kind", "entity").agg(F.coalesce(agreed, F.lit("n")).alias("gender")), key)
+    words = F.sort_array(F.collect_list(F.struct("at", "entity", "surrogate")))
+    shown = parts.join(names, ["kind", "entity"]).groupBy("mention", "kind").agg(words.alias("w"))
+    bare = F.when(F.col("kind") == "name", F.transform("w", lambda x: F.struct(x["entity"].alias("k"), x["surrogate"].alias("v"))))
+    shown = shown.select("mention", rendered(F.col("mention"), F.col("kind"), F.col("w.surrogate")).alias("shown"), bare.alias("bare"))
+    own = mentions.join(shown, "mention").groupBy("__id").agg(
+        F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("__names"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("bare")))).alias("__bare")
     )
-    names = mapping(mentions.select("entity").distinct(), key)
-    own = mentions.join(names, "entity").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__names"))
     joined = docs.drop(found).join(own, docs[id].eqNullSafe(own["__id"]), "left")
     # each mention goes between marks; a mark in the text itself is doubled first, so that it comes back
     marked = F.regexp_replace(F.replace(F.col(text), F.lit(MARK), F.lit(MARK + HOLD + MARK)), F.lit(f"({ANY})"), F.lit(f"{MARK}$1{MARK}"))
-    parts = F.split(marked, MARK)
-    changed = F.array_join(F.transform("__parts", lambda x: F.when(x == HOLD, MARK).otherwise(F.coalesce(F.try_element_at("__names", x), x))), "")
-    cut = joined.withColumn("__parts", F.when(F.col("__names").isNotNull(), parts))
+    # what is no mention is parted again at words that may be names found in this document
+    loose = lambda x: F.split(F.regexp_replace(x, f"({BARE})", f"{MARK}$1{MARK}"), MARK)
+    split = F.transform(F.split(marked, MARK), lambda x: F.when(F.map_contains_key("__names", x) | (F.size("__bare") == 0), F.array(x)).otherwise(loose(x)))
+    value = lambda x: F.coalesce(F.try_element_at("__names", x), F.try_element_at("__bare", x))
+    changed = F.array_join(F.transform("__parts", lambda x: F.when(x == HOLD, MARK).otherwise(F.coalesce(value(x), x))), "")
+    cut = joined.withColumn("__parts", F.when(F.col("__names").isNotNull(), F.flatten(split)))
     out = cut.withColumn(text, F.when(F.col("__names").isNull(), F.col(text)).otherwise(changed))
-    count = F.size(F.filter("__parts", lambda x: F.map_contains_key(F.col("__names"), x)))
+    count = F.size(F.filter("__parts", lambda x: value(x).isNotNull()))
     return out.withColumn(found, F.when(F.col("__names").isNull(), F.lit(0)).otherwise(count).cast("long")).select(*docs.drop(found).columns, found)
