@@ -25,6 +25,11 @@ ROLES: dict[str, tuple[str, list[str]]] = {
     "flashes": ("events", ["event_id as flash_id", "ts as seen_at", *_place("event_id"), "value as energy", "event_id % 5 as quality", "event_id % 2 as side"]),
     "sites": ("supplier", ["s_suppkey as site_id", *_place("s_suppkey"), "s_nationkey as wing"]),
     "runways": ("part", ["p_partkey % 100 as station_id", "p_partkey as runway_id", "p_size * 7 % 360 as heading"]),
+    "overrides": ("orders", [
+        "o_custkey as station_id",
+        "case o_orderkey % 12 when 0 then 'wind_y' when 1 then 'wind_r' when 2 then 'cross_y' when 3 then 'cross_r' when 4 then 'cross_ifr_y' when 5 then 'cross_ifr_r' when 6 then 'ceiling_y' when 7 then 'ceiling_r' when 8 then 'visibility_y' when 9 then 'visibility_r' when 10 then 'cold_y' else 'cold_r' end as parameter",
+        "cast(case when o_orderkey % 12 in (6, 7) then 1000 + o_orderkey % 7 * 300 when o_orderkey % 12 in (8, 9) then o_orderkey % 5 when o_orderkey % 12 >= 10 then o_orderkey % 31 else 5 + o_orderkey % 20 end as double) as threshold",
+    ]),
     "zones": ("nation", ["n_nationkey as zone_id", "n_regionkey as region_id", "n_name as name"]),
     "limits": ("nation", ["n_nationkey as limit_id", "case when n_nationkey % 2 = 0 then n_nationkey else 100 + n_regionkey end as owner", "case when n_nationkey % 3 = 0 then 'wind' when n_nationkey % 3 = 1 then 'ceiling' else 'visibility' end as parameter", "cast(n_nationkey * 3 as double) as threshold"]),
 }

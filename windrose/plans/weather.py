@@ -141,6 +141,56 @@ def go_nogo_colors(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("obs_id", colour.alias("colour"), F.when(colour == "G", None).when(F.col("wind") == colour, "wind").otherwise("ceiling").alias("reason"))
 
 
+#: National limits that an airport's own may replace; 0 is no limit of its own.
+_LIMITS = {"wind_y": 21, "wind_r": 30, "cross_y": 8, "cross_r": 15, "cross_ifr_y": 8, "cross_ifr_r": 13, "ceiling_y": 2000, "ceiling_r": 1000, "visibility_y": 3, "visibility_r": 1, "cold_y": 20, "cold_r": -10}
+_OWN = ", ".join(f"max(case when parameter = '{k}' then nullif(threshold, 0) end) as {k}" for k in _LIMITS)
+_WITH_LIMITS = ", ".join(f"coalesce({k}, {v}) as {k}" for k, v in _LIMITS.items())
+_OVER = "case when {0} is null then 'UNKNOWN' when {0} > {2} then 'R' when {0} > {1} then 'Y' else 'G' end"
+_UNDER = "case when {0} < {2} then 'R' when {0} <= {1} then 'Y' else 'G' end"
+_VFR = {
+    "wind": _OVER.format("speed", "wind_y", "wind_r"), "crosswind": _OVER.format("xw", "cross_y", "cross_r"), "ceiling": _UNDER.format("ceiling", "ceiling_y", "ceiling_r"),
+    "visibility": _UNDER.format("visibility", "visibility_y", "visibility_r"), "temp_cold": f"case when t is null then 'UNKNOWN' else {_UNDER.format('t', 'cold_y', 'cold_r')} end",
+    "temp_hot": "case when t is null then 'UNKNOWN' when t > 104 then 'R' when t >= 90 then 'Y' else 'G' end", "wind_chill": _UNDER.format("chill", "22", "0"),
+}
+_IFR = {"wind": _VFR["wind"], "crosswind": _OVER.format("xw", "cross_ifr_y", "cross_ifr_r"), "ceiling": _UNDER.format("ceiling", "800", "500"), "visibility": _UNDER.format("visibility", "1", "0.5")}
+
+
+def _worst_sql(rule: dict[str, str], name: str) -> str:
+    """The worst colour and the first parameter that has it."""
+    any_of = lambda c: " or ".join(f"({v}) = '{c}'" for v in rule.values())
+    first = lambda c: "case " + " ".join(f"when ({v}) = '{c}' then '{k}'" for k, v in rule.items()) + " end"
+    return f"case when {any_of('R')} then 'R' when {any_of('Y')} then 'Y' else 'G' end as {name}, case when {any_of('R')} then {first('R')} else {first('Y')} end as {name}_reason"
+
+
+@query(f""", own as (select station_id as s, {_OWN} from overrides group by station_id),
+ c as (select obs_id as o, min(round(abs(m.speed * sin(radians(m.direction - r.heading))), 1)) as xw from metar m join runways r on m.station_id = r.station_id group by obs_id),
+ j as (select obs_id, speed, ceiling, visibility, temp_c * 9.0 / 5.0 + 32.0 as t, cast(speed as double) * 1.15078 as mph, xw, {_WITH_LIMITS} from metar left join own on station_id = s left join c on obs_id = o),
+ k as (select *, case when t <= 50 and mph >= 3 then round(35.74 + 0.6215 * t - 35.75 * pow(mph, 0.16) + 0.4275 * t * pow(mph, 0.16), 6) end as chill from j)
+ select obs_id, {_worst_sql(_VFR, 'vfr')}, {_worst_sql(_IFR, 'ifr')} from k""", "metar", "runways", "overrides")
+def go_nogo_all_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Worst VFR and IFR colour and its first cause over all parameters, with the runway of least crosswind and the airport's own limits."""
+    m = role(spark, sf, "metar")
+    both = m.join(role(spark, sf, "runways"), "station_id")
+    cross = both.groupBy("obs_id").agg(F.min(physics.crosswind(F.col("speed"), F.col("direction"), F.col("heading"))).alias("xw"))
+    own = role(spark, sf, "overrides").groupBy("station_id").pivot("parameter", list(_LIMITS)).agg(F.max(F.nullif("threshold", F.lit(0.0))))
+    own = own.select("station_id", *_LIMITS)
+    return go_nogo(m.join(own, "station_id", "left").join(cross, "obs_id", "left"))
+
+
+def go_nogo(rows: DataFrame) -> DataFrame:
+    """Colours of observations with ``xw``, the least crosswind, and their airports' limits; a missing ceiling or visibility is unlimited, what is unknown loses to any colour."""
+    t = physics.fahrenheit(F.col("temp_c"))
+    mph = F.col("speed").cast("double") * 1.15078
+    rows = rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in _LIMITS.items()} | {"t": t, "chill": F.when((t <= 50) & (mph >= 3), physics.wind_chill_f(t, mph))})
+    out = ["obs_id"]
+    for name, rule in (("vfr", _VFR), ("ifr", _IFR)):
+        colours = [F.expr(v) for v in rule.values()]
+        worst = classify.worst(*colours)
+        cause = F.coalesce(*[F.when(c == worst, F.lit(k)) for k, c in zip(rule, colours)])
+        out += [worst.alias(name), F.when(worst != "G", cause).alias(f"{name}_reason")]
+    return rows.select(*out)
+
+
 @query("""select obs_id, case when t <= 50 and mph >= 3 then round(35.74 + 0.6215 * t - 35.75 * pow(mph, 0.16) + 0.4275 * t * pow(mph, 0.16), 6) else round(t, 6) end as chill,
  case when t >= 80 and hi > t then round(hi, 4) else round(t, 4) end as heat from (select *, -42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh - 0.00683783 * t * t - 0.05481717 * rh * rh + 0.00122874 * t * t * rh + 0.00085282 * t * rh * rh - 0.00000199 * t * t * rh * rh as hi from
  (select *, greatest(0.0, least(100.0, 100.0 - (t - d) * 25.0 / 9.0)) as rh from (select obs_id, temp_c * 9.0 / 5.0 + 32.0 as t, dew_c * 9.0 / 5.0 + 32.0 as d, cast(speed as double) * 1.15078 as mph from metar)))""", "metar")
