@@ -170,10 +170,37 @@ def test_pipeline(spark, sf_dir):
 
 def test_parities_never_differ_more_than_sets():
     draw = np.random.default_rng(5)
+    sizes = jaccard_join.Sizes(80, 4000)
     for size in (1, 40, 130, 900):
         for shared in {0, size // 2, size}:
             common, left, right = (draw.integers(0, 2**63, k, dtype=np.uint64) for k in (shared, size - shared, 2 * size))
             a, b = (np.unique(np.concatenate([common, own])) for own in (left, right[: size - shared + size // 3]))
-            least = jaccard_join.differing(pd.Series([jaccard_join.parity_of(a)]), pd.Series([jaccard_join.parity_of(b)]))[0]
+            least = np.bitwise_count((sizes.parity(a, 3) ^ sizes.parity(b, 3)).view(np.uint64)).sum()
             assert least <= len(np.setxor1d(a, b))
-    assert jaccard_join.differing(pd.Series([jaccard_join.parity_of(a)]), pd.Series([jaccard_join.parity_of(a)]))[0] == 0
+    assert not (sizes.parity(a, 3) ^ sizes.parity(a, 3)).any()
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_key(percent):
+    """Also sets so small that they agree in nothing but empty fragments."""
+    draw = np.random.default_rng(7)
+    for size in [*range(4, 40), 300]:
+        for _ in range(60):
+            a = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+            gone = draw.integers(0, size * (100 - percent) // 100 + 1)
+            b = np.unique(np.concatenate([a[gone:], draw.integers(0, 2**64, draw.integers(0, 2 + size // 8), dtype=np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if len(a) == len(b) == shared or 100 * shared < percent * (len(a) + len(b) - shared):
+                continue
+            sizes = jaccard_join.Sizes(percent, 400)
+            keys = [{x for _, cut in sizes.cuts(s) for x in np.concatenate([cut.names, cut.spare]).tolist()} for s in (a, b)]
+            assert keys[0] & keys[1]
+
+
+def test_jaccard_rows_that_share_or_lack_an_id(spark):
+    words = [f"w{i}" for i in range(80)]
+    x, y = " ".join(words[:40]), " ".join(words[40:])
+    rows = [(3, x), (7, x + " end"), (7, y), (1, y + " end"), (None, x), (None, None), (9, ""), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_join(docs, n=3, percent=90).collect())
+    assert got == sorted([(3, 38, 1), (7, 39, 1), (7, 38, 1), (1, 39, 1), (-1, 38, -1), (-1, 0, -1), (9, 0, 9), (9, 1, 9)])

@@ -87,11 +87,14 @@ class Windows:
 
 
 def blocks(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
-    """Columns (block, doc, text) and the number of blocks; a null id counts as the largest, a null text as empty."""
+    """Columns (block, doc, text) and the number of blocks; a null id counts as the largest, a null text as empty.
+
+    Rows go to blocks by id and text, so that many rows without an id, or of one id, don't meet in one block.
+    """
     plain = docs.select(F.coalesce(F.col(id), F.lit(2**63 - 1)).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id).isNull().alias("no_id"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, size // BLOCK_BYTES + 1)
-    return plain.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")).select("block", "doc", "text", "no_id"), n
+    return plain.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(n)).cast("int")).select("block", "doc", "text", "no_id"), n
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -359,7 +362,10 @@ def repeated_spans(
             rows["hash"] = group_rows(anchor.view(np.uint8).reshape(len(rows), -1))
             order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
             rows, origin = rows[order], origin[order]
+            own_row = rows["row"].copy()
+            _, rows["row"] = np.unique(origin.astype(np.int64) << 32 | own_row, return_inverse=True)  # rows of several blocks apart
             flags = resolve(rows, windows) & valid(rows, left)
+            rows["row"] = own_row
             some = flags.any(1)
             rows, origin, flags = rows[some], origin[some], flags[some]
             for block in np.unique(origin):
