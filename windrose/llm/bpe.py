@@ -12,9 +12,11 @@ equal texts get equal ids; other columns of the input are kept, and an existing
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,10 @@ LEAF = 6
 NODE = 6
 
 
+#: Neighbouring tokens whose bytes are a leaf of the decoding tree.
+RUN = 64
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """token bytes -> rank, from a file of lines "base64 rank"."""
     with open(path, "rb") as lines:
@@ -132,7 +138,7 @@ class TextEncoder:
 
 
 class TokenBytes:
-    """The bytes of tokens, gathered by rank: concatenation is associative, so all levels of the tree are one gather."""
+    """Decodes by concatenating up a tree: leaves are the bytes of up to ``RUN`` neighbouring tokens, and each level joins neighbours."""
 
     def __init__(self, ranks: dict[bytes, int]):
         by_rank: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
@@ -140,40 +146,66 @@ class TokenBytes:
             by_rank[rank] = token
         self.tokens = pa.array(by_rank, pa.large_binary())
 
-    def __call__(self, ids: pa.Array) -> bytes:
-        if not len(ids):
-            return b""
-        found = self.tokens.take(ids)  # raises for an id beyond the last
+    def __call__(self, rows: pa.ListArray) -> pa.Array:
+        """The bytes of each row of ids; all rows go up their trees together."""
+        found = self.tokens.take(rows.flatten())  # raises for an id beyond the last
         if found.null_count:
             raise ValueError("unknown token id")
-        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
-        return found.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
+        counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        size = -(-counts // RUN)
+        leaf = np.repeat(begin, size) + RUN * within(size)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        bounds = ends[np.append(leaf, len(found))]
+        nodes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(leaf), [None, pa.py_buffer(bounds.tobytes()), found.buffers()[2]])
+        empty = pa.array([b""], pa.large_binary())
+        while size.max(initial=0) > 1:
+            half = -(-size // 2)
+            left = np.repeat(np.cumsum(size) - size, half) + 2 * within(half)
+            last = np.repeat(np.cumsum(size), half) - 1
+            right = np.where(left < last, left + 1, len(nodes))  # the last of an odd number joins nothing
+            nodes = pc.binary_join_element_wise(nodes.take(pa.array(left)), pa.concat_arrays([nodes, empty]).take(pa.array(right)), pa.scalar(b"", pa.large_binary()))
+            size = half
+        at = np.where(size > 0, np.cumsum(size) - size, len(nodes))
+        out = pa.concat_arrays([nodes, empty]).take(pa.array(at, mask=~pc.is_valid(rows).to_numpy(zero_copy_only=False)))
+        return out.cast(pa.binary())
+
+
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+#: By the vocabulary's digest: objects of a worker's earlier jobs may not be taken for this one's.
+_ENCODERS: dict[tuple, TextEncoder] = {}
+_DECODERS: dict[str, TokenBytes] = {}
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
-_DECODERS: dict[tuple, TokenBytes] = {}
+def digest(ranks: dict[bytes, int]) -> str:
+    return hashlib.sha256(b"".join(b"%d %s\n" % (rank, base64.b64encode(token)) for token, rank in ranks.items())).hexdigest()
 
 
-def _encoder(ranks: Broadcast, pattern: str) -> TextEncoder:
-    key = (ranks.id if hasattr(ranks, "id") else id(ranks), pattern)
+def _encoder(ranks: Broadcast, name: str, pattern: str) -> TextEncoder:
+    key = (name, pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = TextEncoder(ranks.value, pattern)
     return _ENCODERS[key]
 
 
-def _vocabulary(spark: SparkSession, path: str) -> Broadcast:
-    """The vocabulary goes to every executor once: its size is that of the file, not of the data."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+def _vocabulary(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
+    """The vocabulary and its digest. It goes to every executor once: its size is that of the file, not of the data."""
+    ranks = read_ranks(path)
+    return spark.sparkContext.broadcast(ranks), digest(ranks)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids array<int>``: the tokens of the whole text of each row. No shuffle."""
-    ranks = _vocabulary(df.sparkSession, path)
+    ranks, name = _vocabulary(df.sparkSession, path)
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        encoder = _encoder(ranks, pattern)
+        encoder = _encoder(ranks, name, pattern)
         ends, flat = [0], []
         for value in column:
             one = encoder(value.as_py() or "")
@@ -188,15 +220,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded binary``: the bytes of each row's tokens, in order. An unknown id raises. No shuffle."""
-    ranks = _vocabulary(df.sparkSession, path)
+    ranks, name = _vocabulary(df.sparkSession, path)
 
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
-        key = (ranks.id if hasattr(ranks, "id") else id(ranks), None)
-        if key not in _DECODERS:
+        if name not in _DECODERS:
             _DECODERS.clear()
-            _DECODERS[key] = TokenBytes(ranks.value)
-        decoder = _DECODERS[key]
-        return pa.array([decoder(v.values) if v.is_valid else None for v in column], pa.binary())
+            _DECODERS[name] = TokenBytes(ranks.value)
+        return _DECODERS[name](column)
 
     return df.withColumn(decoded, bytes_of(F.col(ids)))
