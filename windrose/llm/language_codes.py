@@ -32,12 +32,26 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
 def codewords(n: int) -> np.ndarray:
-    """A row of bits for each of n classes: all splits for few classes, else pseudo-random ones; equal columns never."""
+    """A row of bits for each of n classes: all splits for few classes, else pseudo-random ones.
+
+    No column is constant, equal to another or its complement, and rows differ in at least an eighth of the bits.
+    """
     if n <= 5:
         splits = np.arange(1, max(2 ** (n - 1), 2))
         return np.array([[1 if i == n - 1 else s >> i & 1 for s in (2 ** (n - 1) - 1 - splits)] for i in range(n)], np.int8)
     bits = int(np.ceil(10 * np.log2(n)))
-    return np.random.default_rng(n).integers(0, 2, (n, bits)).astype(np.int8)
+    draw = np.random.default_rng(n)
+    while True:
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            column = draw.integers(0, 2, n).astype(np.int8)
+            column ^= column[0]
+            if column.any():
+                columns[column.tobytes()] = column
+        code = np.stack(list(columns.values()), 1).astype(int)
+        apart = code @ (1 - code).T + (1 - code) @ code.T  # bits in which two rows differ
+        if (apart + bits * np.eye(n, dtype=np.int8)).min() >= bits / 8:
+            return code.astype(np.int8)
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
