@@ -39,7 +39,7 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A word that may be a name without its title.
 BARE = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}_])"
 ROUNDS = 64
-#: Two control characters: what parts a text's mentions, and what stands for such a character of the text.
+#: Two control characters: what parts a text's mentions, and what stands for such a character of the text (and is itself doubled there).
 MARK, HOLD = "\u0001", "\u0002"
 
 
@@ -176,12 +176,12 @@ def surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text"
     )
     joined = docs.drop(found).join(own, docs[id].eqNullSafe(own["__id"]), "left")
     # each mention goes between marks; a mark in the text itself is doubled first, so that it comes back
-    marked = F.regexp_replace(F.replace(F.col(text), F.lit(MARK), F.lit(MARK + HOLD + MARK)), F.lit(f"({ANY})"), F.lit(f"{MARK}$1{MARK}"))
+    marked = F.regexp_replace(F.replace(F.replace(F.col(text), F.lit(HOLD), F.lit(HOLD * 2)), F.lit(MARK), F.lit(MARK + HOLD + MARK)), F.lit(f"({ANY})"), F.lit(f"{MARK}$1{MARK}"))
     # what is no mention is parted again at words that may be names found in this document
     loose = lambda x: F.split(F.regexp_replace(x, f"({BARE})", f"{MARK}$1{MARK}"), MARK)
     split = F.transform(F.split(marked, MARK), lambda x: F.when(F.map_contains_key("__names", x) | (F.size("__bare") == 0), F.array(x)).otherwise(loose(x)))
     value = lambda x: F.coalesce(F.try_element_at("__names", x), F.try_element_at("__bare", x))
-    changed = F.array_join(F.transform("__parts", lambda x: F.when(x == HOLD, MARK).otherwise(F.coalesce(value(x), x))), "")
+    changed = F.array_join(F.transform("__parts", lambda x: F.when(x == HOLD, MARK).otherwise(F.coalesce(value(x), F.replace(x, F.lit(HOLD * 2), F.lit(HOLD))))), "")
     cut = joined.withColumn("__parts", F.when(F.col("__names").isNotNull(), F.flatten(split)))
     out = cut.withColumn(text, F.when(F.col("__names").isNull(), F.col(text)).otherwise(changed))
     count = F.size(F.filter("__parts", lambda x: value(x).isNotNull()))
