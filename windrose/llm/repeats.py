@@ -49,7 +49,7 @@ class Windows:
         self.left = width - reach
         self.context = np.dtype(
             [("hash", "u8"), ("doc", "i8"), ("row", "u4"), ("pos", "i4"), ("lo", "u1"), ("hi", "u1"), ("hot", "?"),
-             ("text", "u1" if kind == "bytes" else "u4", self.left + width)]
+             ("text", "u1" if kind == "bytes" else "u8", self.left + width)]
         )
 
     def symbols(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ class Windows:
             return BYTE_CODES[data], data, ends
         start, end = word_bounds(data)
         codes = RollingHash(BYTE_CODES[data]).windows(start, end)
-        return codes, (codes >> np.uint64(32)).astype(np.uint32), np.searchsorted(start, ends)
+        return codes, codes, np.searchsorted(start, ends)
 
     def anchors(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """(hash, position, first window, last window) of each anchor, by position."""
