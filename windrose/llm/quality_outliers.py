@@ -1,8 +1,8 @@
 """Quality rules by robust multivariate outliers. DataFrame functions only.
 
 Statistics of each text become a vector of four transformed rates. For each language and source a
-minimum-covariance-determinant estimate is found by concentration steps: from medians and absolute
-deviations, again and again the mean and covariance of the ``SUBSET`` share of rows that are nearest.
+minimum-covariance-determinant estimate is found by concentration steps: from each of three starts,
+again and again the mean and covariance of the ``SUBSET`` share of rows that are nearest; the estimate of least determinant is taken.
 A group of fewer than ``LEAST`` documents is judged by the estimate of its whole language, and if that has fewer too,
 by the one of the whole corpus; both come from the same steps over all their documents, and only where a small group needs them.
 A document is rejected if its squared Mahalanobis distance, scaled to the median that the chi-square law with 4
@@ -121,16 +121,21 @@ def scopes(rows: DataFrame) -> DataFrame:
     return t.select("l0", "l1", F.when(enough, own).when(enough_lang, lang).otherwise(whole).alias("by"), F.filter(fits, lambda x: x.isNotNull()).alias("fits"))
 
 
+def quantile(x: Column, share: float) -> Column:
+    """An exact quantile of non-negative values on a fixed grid (steps of a thousandth): the same however rows are dealt to tasks."""
+    return F.expm1(F.percentile(F.round(F.log1p(x), 3), share))
+
+
 def located(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with ``d2``, their squared distance by the estimate of their group (null without one)."""
+    """Rows with ``d2``, their squared distance by each estimate of their group (null without one)."""
     return rows.join(estimates, same(rows, estimates), "left").withColumn("d2", distance()).drop(*FOUND)
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Mean and triangle of each group."""
+    """Mean and triangle of each group and start ``s``."""
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in _P]
     products = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in _P for j in range(i + 1)]
-    found = rows.groupBy(*KEYS).agg(*sums, *products)
+    found = rows.groupBy(*KEYS, "s").agg(*sums, *products)
     low = {(i, j): F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i in _P for j in range(i + 1)}
     tri = []
     for i in _P:
@@ -138,16 +143,40 @@ def estimate(rows: DataFrame) -> DataFrame:
             rest = low[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
             tri.append(f"l{i}{j}")
-    return named(found, *[f"m{i}" for i in _P], *tri)
+    return named(found, "s", *[f"m{i}" for i in _P], *tri)
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled absolute deviations of each group, as a first estimate."""
-    mids = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in _P]).where(F.col("n") >= LEAST)
+def medians(rows: DataFrame) -> DataFrame:
+    """Start 0: medians and scaled absolute deviations of each group."""
+    mids = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *[quantile(F.col(f"x{i}"), 0.5).alias(f"m{i}") for i in _P]).where(F.col("n") >= LEAST)
     mids = named(mids, *[f"m{i}" for i in _P])
-    away = rows.join(mids, same(rows, mids)).groupBy(*FOUND).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _P], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in _P])
+    away = rows.join(mids, same(rows, mids)).groupBy(*FOUND).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _P], *[quantile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in _P])
     tri = [(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _P for j in range(i + 1)]
-    return away.select(*FOUND, *[f"m{i}" for i in _P], *tri)
+    return away.select(*FOUND, F.lit(0).alias("s"), *[f"m{i}" for i in _P], *tri)
+
+
+def concentrated(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """The estimates of the ``share`` of rows that are nearest by each estimate."""
+    near = located(rows, now)
+    radius = named(near.groupBy(*KEYS, "s").agg(quantile(F.col("d2"), share).alias("radius")), F.col("s").alias("t"), "radius")
+    inner = near.join(radius, same(near, radius) & (near["s"] == radius["t"])).where("d2 <= radius")
+    return estimate(inner.select(*KEYS, "s", *[f"x{i}" for i in _P]))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of each group: by medians, by all rows, and by the half of rows nearest to the medians."""
+    first = materialize(medians(rows))
+    judged = rows.join(first.select(*FOUND), same(rows, first), "left_semi")
+    every = estimate(judged.withColumn("s", F.lit(1)))
+    half = concentrated(rows.join(first.select(*FOUND), same(rows, first), "left_semi"), first, 0.5).withColumn("s", F.lit(2))
+    return first.unionByName(every).unionByName(half)
+
+
+def least_determinant(estimates: DataFrame) -> DataFrame:
+    """Of each group, the estimate whose covariance has the least determinant; the first of equal ones."""
+    log_det = F.round(sum((F.log(f"l{i}{i}") for i in _P), F.lit(0.0)), 9)
+    rest = [c for c in estimates.columns if c not in (*FOUND, "s")]
+    return estimates.groupBy(*FOUND).agg(F.min(F.struct(log_det.alias("det"), "s", *rest)).alias("best")).select(*FOUND, *[f"best.{c}" for c in rest])
 
 
 def quality_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -158,14 +187,12 @@ def quality_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, str
     rows = rows.join(by, same(rows, by, KEYS[1:], ("l0", "l1"))).drop("g0", "g1", "l0", "l1")
     x = [f"x{i}" for i in _P]
     used = materialize(rows.where(~F.col("base_failed")).select(F.explode("fits").alias("fit"), *x).select("fit.*", *x))
-    now = materialize(start(used))
+    now = materialize(starts(used))
     for _ in range(STEPS):
-        near = located(used, now)
-        radius = named(near.groupBy(*KEYS).agg(F.percentile_approx("d2", SUBSET).alias("radius")), "radius")
-        inner = near.join(radius, same(near, radius)).where("d2 <= radius")
-        now = materialize(estimate(inner.select(*KEYS, *x)))
-    middle = located(used, now).groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5).alias("middle"))
+        now = materialize(concentrated(used, now, SUBSET).where("s is not null"))
+    now = least_determinant(now)
+    middle = located(used, now).groupBy(*KEYS).agg(quantile(F.col("d2"), 0.5).alias("middle"))
     scale = now.join(middle, same(middle, now)).drop(*KEYS)
-    out = located(rows.select("*", "by.*"), scale).withColumn("distance", F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN)))
+    out = located(rows.select("*", "by.*"), scale).withColumn("distance", F.round(F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN)), 6))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return out.withColumn("kept", kept).select(*table.columns, "distance", "kept")
