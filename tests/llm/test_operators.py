@@ -204,3 +204,109 @@ def test_jaccard_rows_that_share_or_lack_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_join(docs, n=3, percent=90).collect())
     assert got == sorted([(3, 38, 1), (7, 39, 1), (7, 38, 1), (1, 39, 1), (-1, 38, -1), (-1, 0, -1), (9, 0, 9), (9, 1, 9)])
+
+
+def test_rows_that_share_or_lack_an_id_keep_their_own_lines(spark):
+    rows = [(1, "a\nb\nc"), (None, "a\nb\nc\nq"), (None, "u1\nu2\nu3\nu4"), (5, "a\nb\nc"), (5, "x\ny\nz\nw")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(0, "q"), (0, "u1\nu2\nu3\nu4"), (1, "a\nb\nc"), (5, ""), (5, "x\ny\nz\nw")]
+
+
+@pytest.mark.parametrize("f,column", [(suffix_dedup.suffix_dedup, "n_removed"), (automaton_dedup.automaton_dedup, "n_removed")])
+def test_substrings_with_repeated_and_null_ids(spark, f, column):
+    base, other = (" ".join(f"{x}{i}word" for i in range(60)) for x in "ab")
+    rows = [(2, base), (2, other), (None, base), (None, other), (None, None), (7, base + " " + other), (1, "short")]
+    out = f(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted((r.doc_id or 0, r[column]) for r in out)
+    n = [len(base), len(other)] if f is suffix_dedup.suffix_dedup else [60, 60]
+    assert gone == sorted([(2, 0), (2, 0), (0, n[0]), (0, n[1]), (0, 0), (7, n[0] + n[1]), (1, 0)])
+
+
+def test_codewords_stand_apart():
+    for n in (2, 3, 5, *range(6, 20), 60, 300):
+        code = language_codes.codewords(n)
+        columns = {min(c.tobytes(), (1 - c).tobytes()) for c in code.T}
+        assert len(columns) == code.shape[1] and all(0 < c.sum() < n for c in code.T) and len({r.tobytes() for r in code}) == n
+
+
+def test_eight_languages(spark):
+    draw, rows = random.Random(2), []
+    letters = ["abcdefg", "hijklmn", "opqrstu", "vwxyzab", "acegikm", "bdfhjln", "оеаинтс", "αεηικλμ"]
+    for k, own in enumerate(letters):
+        rows += [(100 * k + i, " ".join("".join(draw.choices(own, k=draw.randint(2, 8))) for _ in range(30)), f"l{k}") for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    model = language_codes.fit(docs.where("doc_id % 2 = 0"))
+    out = language_codes.predict(docs, model).collect()
+    assert len(out) == len(rows) + 5 and all(r.lang_pred == f"l{r.doc_id // 100}" for r in out)
+    one = language_codes.fit(docs.where("lang = 'l3'"))
+    assert {r.lang_pred for r in language_codes.predict(docs, one).collect()} == {"l3"}
+    assert language_codes.predict(docs.limit(0), model).isEmpty()
+
+
+def test_control_marks_come_back(spark):
+    text = "a\u0001\u0002\u0001b\u0002 x@y.example.com \u0001"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = pii.surrogates(docs, "k").first().text
+    assert out.startswith("a\u0001\u0002\u0001b\u0002 ") and out.endswith(" \u0001") and "x@y" not in out
+
+
+def test_decoding_trees(spark):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    tokens = {rank: token for token, rank in bpe.read_ranks(path).items()}
+    rows = [(i, ids) for i, ids in enumerate([None, [], [5], list(range(64)), list(range(300, 429)), [7] * 1000, [], None])]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    got = {r.doc_id: r.decoded for r in bpe.decode(docs, path).collect()}
+    assert got == {i: None if ids is None else bytearray(b"".join(tokens[x] for x in ids)) for i, ids in rows}
+    with pytest.raises(Exception):
+        bpe.decode(spark.createDataFrame([(1, [10_000_000])], "doc_id long, ids array<int>"), path).collect()
+
+
+def test_decontamination_equals_brute_force(spark):
+    """All items against all texts: edits at any place, items at either end of a text, long texts, repeated items, clashing columns."""
+    draw = random.Random(9)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "ti", "vo")]
+    items = [(i, " ".join(draw.choices(words, k=draw.randint(4, 24)))) for i in range(8)]
+    items += [(20, items[3][1]), (21, "short one"), (22, None)]
+
+    def spoiled(text: str, n: int) -> str:
+        for _ in range(n):
+            at = draw.randrange(len(text))
+            text = draw.choice([text[:at] + text[at + 1 :], text[:at] + "z" + text[at:], text[:at] + "Q" + text[at + 1 :]])
+        return text
+
+    texts = [None, "", " ".join(draw.choices(words, k=4000))]
+    for _, item in items[:8]:
+        for n in (0, 1, 3, 5, 9):
+            before, after = (" ".join(draw.choices(words, k=draw.choice([0, 0, 40]))) for _ in range(2))
+            texts.append(f"{before} {spoiled(item, n)} {after}".strip().upper())
+    docs = spark.createDataFrame([(i, x, 1, 2) for i, x in enumerate(texts)], "doc_id long, text string, item_id int, distance int")
+    found = decontamination.decontamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        for k, item in items:
+            if text and item:
+                a, b = decontamination.plain(item), decontamination.plain(text)
+                d = distance(a, b)
+                if d <= (int(len(a) * decontamination.RATE) if len(a) >= decontamination.LEAST else 0):
+                    want.add((i, k, d))
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == want and len(found) == len(want)
+
+
+def test_importance_weights_equal_a_plain_version(spark):
+    texts = ["a b c a", "b c", None, "", "good words here good words", "good words", "a b c a", "x" * 5000]
+    docs = spark.createDataFrame([(i if i != 6 else None, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, log_weight double")
+    good = spark.createDataFrame([(4,), (5,), (None,)], "doc_id long")
+    import pyarrow as pa
+
+    grams = [importance.buckets_of(pa.array([t], pa.string()))[0].astype(int) for t in texts]
+    raw, target = (np.bincount(np.concatenate(x), minlength=importance.BUCKETS) for x in (grams, [grams[4], grams[5]]))
+    ratio = np.log((target + 1) / (target.sum() + importance.BUCKETS)) - np.log((raw + 1) / (raw.sum() + importance.BUCKETS))
+    out = importance.importance(docs, good, share=0.5).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.log_weight, 6)) for r in out)
+    assert got == sorted((-1 if i == 6 else i, round(float(ratio[g].sum()), 6) + 0.0) for i, g in enumerate(grams))
+    order = sorted(out, key=lambda r: -r.gumbel_key)
+    assert [r.kept for r in order] == [r.gumbel_key >= order[3].gumbel_key for r in order]
+    assert len(grams[0]) == 7 and len(grams[2]) == 0

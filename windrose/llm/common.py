@@ -16,10 +16,12 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests), a temporary folder of this machine is set once.
+    Where it is unset, a temporary folder of this machine is set once on a local master, as in tests; on a cluster that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("windrose.local.shared", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="windrose-")
         spark.conf.set("windrose.local.shared", folder)
     return folder.rstrip("/")
