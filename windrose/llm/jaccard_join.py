@@ -3,7 +3,7 @@
 The order is that of 64-bit hashes, cut into fragments. Two sets of similarity ``percent`` differ in at most D n-grams (D from
 their sizes), and each of these spoils one fragment: of D + D/4 + 2 fragments, at least D/4 + 2 agree. A document of which fewer
 fragments occur elsewhere (or are empty) is linked with nothing and goes no further. The rest are joined inside their
-agreeing fragments. Overlaps of the pairs are counted fragment by fragment, separately, and summed per pair. Sizes are put in
+agreeing fragments, but for the most common ones that each can spare. Overlaps of the pairs are counted fragment by fragment, separately, and summed per pair. Sizes are put in
 classes so narrow that only neighbouring classes can link; each class is cut for itself and for its lower neighbour.
 
 Documents of equal sets are one node. A group of nodes never makes all its pairs: in each round a few leaders are compared with those
@@ -30,8 +30,8 @@ from .repeats import MESSAGE, blocks, bucket_of, by_bucket, messages, ordered, p
 COUNTED = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-PROFILE = "doc long, no_id boolean, n long, low long, high long, keys array<struct<key:long,cut:int>>, parities array<array<long>>, fragments array<array<long>>"
-_KEY = pa.struct([("key", pa.int64()), ("cut", pa.int32())])
+PROFILE = "doc long, no_id boolean, n long, low long, high long, keys array<struct<key:long,cut:int,need:int>>, parities array<array<long>>, fragments array<array<long>>"
+_KEY = pa.struct([("key", pa.int64()), ("cut", pa.int32()), ("need", pa.int32())])
 
 
 def ngram_sets(table: pa.Table, n: int) -> list[np.ndarray]:
@@ -95,8 +95,8 @@ class Sizes:
         return [(c, Cut(grams, c, self.differ[c])) for c in (own, own - 1) if c >= 0 and self.differ[c]]
 
     def parity(self, grams: np.ndarray, c: int) -> np.ndarray:
-        """For each of at least twice as many bits as n-grams of the class: whether an odd number of n-grams falls on it."""
-        bits = max(256, 1 << (2 * self.low[c] - 1).bit_length())
+        """For each of at least four times as many bits as n-grams of the class: whether an odd number of n-grams falls on it."""
+        bits = max(256, 1 << (4 * self.low[c] - 1).bit_length())
         odd = (np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)
         return np.packbits(odd).view(np.int64)
 
@@ -149,7 +149,7 @@ def candidates(docs: DataFrame, id: str, text: str, n: int, percent: int) -> Dat
                 again = among(cut.names, wanted)
                 odd.append((c, grams))
                 if len(again) + cut.empty >= cut.need:
-                    mine += [{"key": x, "cut": k} for x in np.concatenate([again, among(cut.spare, wanted)]).view(np.int64).tolist()]
+                    mine += [{"key": x, "cut": k, "need": cut.need - cut.empty} for x in np.concatenate([again, among(cut.spare, wanted)]).view(np.int64).tolist()]
             keys.append(mine or None), parities.append([sizes.parity(s, c) for c, s in odd] if mine else None)
             cut = np.searchsorted(bucket_of(grams, COUNTED), np.arange(COUNTED + 1))
             fragments.append([grams[a:b].view(np.int64) for a, b in zip(cut[:-1], cut[1:])] if mine else None)
@@ -190,8 +190,8 @@ def linked(members: DataFrame, fragments: DataFrame, known: DataFrame, percent:
         members = materialize(named.join(open_.select("key", "size"), "key"))
         if members.isEmpty():
             return roots
-        # leaders are drawn by hash: about ``few`` of each group
-        leads = F.pmod(F.xxhash64("node", F.lit(few)), F.greatest(F.lit(1), F.floor(F.col("size") / few))) == 0
+        # leaders are drawn by hash, about ``few`` of each group: the leaders of a group lead in smaller ones as well
+        leads = F.pmod(F.xxhash64("node", F.lit(few)), F.lit(1 << 31)) * F.col("size") <= few << 31
         lead = members.where(leads).select("key", F.col("node").alias("a"), F.col("n").alias("size_a"), F.col("parity").alias("left"), F.col("root").alias("own"))
         sizes = F.col("n") + F.col("size_a")
         near = [F.col("root") != F.col("own"), 100 * F.least("n", "size_a") >= percent * F.greatest("n", "size_a"), (100 + percent) * differing(F.col("left"), F.col("parity")) <= (100 - percent) * sizes]
@@ -215,8 +215,13 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int
     heads = materialize(heads.select(F.col("low").alias("node"), "n", "keys", "parities", "fragments"))
     keyed = heads.select(F.explode("keys").alias("k"), "node").select("k.*", "node")
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
-    one = groups.where("size > 1").groupBy("size", "least", "all").agg(F.min("key").alias("key"))  # of keys with the same members
-    chosen = keyed.join(one.select("key"), "key", "left_semi")
+    groups = materialize(groups.where("size > 1"))
+    one = groups.groupBy("size", "least", "all").agg(F.min("key").alias("rep"))  # stands for keys with the same members
+    groups = groups.join(one, ["size", "least", "all"]).select("key", "size", "rep")
+    # linked sets share ``need`` keys at least: each can spare its need - 1 largest groups and still meets the other in the first they share
+    own = keyed.join(groups, "key").groupBy("node", "cut").agg(F.sort_array(F.collect_list(F.struct("size", "key", "rep"))).alias("own"), F.max("need").alias("need"))
+    kept = own.select("node", "cut", F.explode(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - F.greatest(F.lit(0), F.col("need") - 1)))).alias("k")).select(F.col("k.rep").alias("key"), "node", "cut")
+    chosen = kept.distinct()
     members = materialize(chosen.join(heads.select("node", "n", "parities"), "node").select("key", "node", "n", F.get("parities", F.col("cut")).alias("parity")))
     fragments = heads.select("node", F.posexplode("fragments").alias("part", "grams"))
     # rows that share an id are linked
