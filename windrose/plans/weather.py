@@ -221,7 +221,7 @@ def stations_within_radius(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("s_id").alias("site_id"), F.col("p_id").alias("station_id"), "nm")
 
 
-@query(f"select site_id, station_id, nm from (select *, row_number() over (partition by site_id order by nm, station_id) rn from (select s.site_id, a.station_id, {_NM} as nm from airports a, sites s) where nm <= 300) where rn <= 5", "airports", "sites")
+@query(f"select site_id, station_id, nm from (select *, row_number() over (partition by site_id order by nm, station_id) rn from (select s.site_id, a.station_id, {_NM} as nm from airports a, sites s)) where rn <= 5", "airports", "sites")
 def knn_stations(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spatial.nearest(_points(role(spark, sf, "airports"), "station_id"), _points(role(spark, sf, "sites"), "site_id", "s"), 5, 300)
     return pairs.select(F.col("s_id").alias("site_id"), F.col("p_id").alias("station_id"), "nm")
@@ -261,15 +261,13 @@ def contiguous_runs(spark: SparkSession, sf: str) -> DataFrame:
     return latest.runs(role(spark, sf, "winds").where("speed >= 25"), ["station_id"], "hour")
 
 
-@query("select glat, glon, case when min(d) < 0.1 then round(max(v) filter (where d < 0.1), 4) else round(sum(v / pow(d, 2)) / sum(1 / pow(d, 2)), 4) end as value from (select cast(g.lat as double) as glat, cast(g.lon as double) as glon, runway_ft as v, sqrt(pow(60 * (a.lat - g.lat), 2) + pow(60 * (a.lon - g.lon) * cos(radians(g.lat)), 2)) as d from airports a, (select x.lat, y.lon from (select unnest(range(26, 50, 4)) as lat) x, (select unnest(range(-120, -70, 5)) as lon) y) g) where d <= 240 group by glat, glon", "airports")
+@query("""select g.glat, g.glon, case when min(d) < 0.1 then round(cast(max(v) filter (where d < 0.1) as double), 4) else round(sum(v / pow(d, 2)) filter (where d >= 0.1) / sum(1 / pow(d, 2)) filter (where d >= 0.1), 4) end as value
+ from (select cast(x.lat as double) as glat, cast(y.lon as double) as glon from (select unnest(range(26, 56, 4)) as lat) x, (select unnest(range(-120, -50, 5)) as lon) y) g
+ left join (select *, sqrt(pow(60 * (lat - glat), 2) + pow(60 * (lon - glon) * cos(radians(glat)), 2)) as d from (select lat, lon, runway_ft as v from airports), (select cast(x.lat as double) as glat, cast(y.lon as double) as glon from (select unnest(range(26, 56, 4)) as lat) x, (select unnest(range(-120, -50, 5)) as lon) y)) n
+ on n.glat = g.glat and n.glon = g.glon and d <= 240 group by g.glat, g.glon""", "airports")
 def idw_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Inverse squared distances on a fixed grid; each station goes to the grid rows in reach."""
-    own = role(spark, sf, "airports").select("lat", "lon", F.col("runway_ft").alias("v"))
-    rows = own.withColumn("glat", F.explode(F.expr("filter(sequence(26, 46, 4), g -> abs(g - lat) <= 4)"))).withColumn("glon", F.explode(F.expr("filter(sequence(-120, -75, 5), g -> abs(g - lon) <= 8)")))
-    d = F.sqrt(F.pow(60 * (F.col("lat") - F.col("glat")), 2) + F.pow(60 * (F.col("lon") - F.col("glon")) * F.cos(F.radians(F.col("glat"))), 2))
-    near = rows.withColumn("d", d).where("d <= 240")
-    value = F.when(F.min("d") < 0.1, F.round(F.max(F.when(F.col("d") < 0.1, F.col("v"))), 4)).otherwise(F.round(F.sum(F.col("v") / F.pow("d", F.lit(2))) / F.sum(1 / F.pow("d", F.lit(2))), 4))
-    return near.groupBy(F.col("glat").cast("double").alias("glat"), F.col("glon").cast("double").alias("glon")).agg(value.alias("value"))
+    """Inverse squared distances; nodes without a station in reach are null."""
+    return spatial.idw(role(spark, sf, "airports").select("lat", "lon", F.col("runway_ft").alias("v")), (26, 54, 4), (-120, -55, 5))
 
 
 _OLD = "o as (select station_id, hour, max(speed) as speed, min(gust) as gust from winds where run_id % 2 = 0 group by 1, 2), n as (select station_id, hour, max(speed) as speed, min(gust) as gust from winds where run_id % 2 = 1 group by 1, 2)"
