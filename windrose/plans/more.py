@@ -80,7 +80,8 @@ def decoded_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports written from columns and decoded again."""
     m = role(spark, sf, "metar")
     text = F.expr(_TEXT.replace("varchar", "string").replace("strftime(seen_at, '%d%H%M')", "date_format(seen_at, 'ddHHmm')").replace("ceiling // 100", "ceiling div 100"))
-    out = m.select("obs_id", reports.metar(text, F.year("seen_at"), F.month("seen_at")).alias("r")).select("obs_id", "r.*")
+    written = m.select("obs_id", text.alias("text"), "seen_at")
+    out = written.select("obs_id", reports.metar(F.col("text"), F.year("seen_at"), F.month("seen_at")).alias("r")).select("obs_id", "r.*")
     return out.drop("weather")
 
 
