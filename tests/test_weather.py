@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+
+import windrose.plans.more  # registers its queries
 from oracle import compare
 from pyspark.sql import functions as F
 
