@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, RollingHash, byte_strings, materialize, mix, word_bounds
+from .common import BYTE_CODES, RollingHash, materialize, mix, word_bounds
 from .components import connected
-from .repeats import MESSAGE, blocks, bucket_of, by_bucket, messages, ordered, pieces, repeated_keys
+from .repeats import MESSAGE, blocks, bucket_of, by_bucket, messages, narrow, ordered, pieces, repeated_keys, widen
 
 #: Fragments of the order in which overlaps are counted.
 COUNTED = 4
@@ -134,14 +134,13 @@ def candidates(docs: DataFrame, id: str, text: str, n: int, percent: int) -> Dat
             return messages([])
         name, count = np.unique(np.concatenate(found), return_counts=True)
         sent = name << np.uint64(1) | (count > 1).astype(np.uint64)
-        return messages(by_bucket(sent, bucket_of(sent, buckets), key[0].as_py()))
+        return messages(by_bucket(sent, bucket_of(sent, buckets), key[0].as_py(), lambda x: narrow(x, 8)))
 
     def profile(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         sets, sums, first = heads_of(table, n)
         sizes = Sizes(percent, max(map(len, sets), default=0))
-        values, _ = byte_strings(answers.column("blob"))
-        wanted = np.sort(values.view(np.uint64) >> np.uint64(1)) if len(values) else np.empty(0, np.uint64)
+        wanted = np.sort(widen(answers.column("blob").to_pylist(), 8) >> np.uint64(1))
         keys, fragments, parities = [], [], []
         for grams, head in zip(sets, first):
             mine, odd = [], []

@@ -6,15 +6,17 @@ have their anchor at the same offset. The anchors therefore are a content-define
 any two equal windows meet in a sampled position at one common offset, wherever they start.
 
 Documents whose whole text a smaller document has are answered as a whole and take no part in the search.
-Four exchanges, all of packed arrays, and one exchange of the texts that Spark reuses:
+Six exchanges, all of packed arrays, and one exchange of the texts that Spark reuses:
 
 1. each block of documents sends its distinct anchor hashes to buckets by hash range;
 2. a bucket answers each block which of its hashes occur elsewhere, and which occur in very many blocks;
-3. a block sends the surroundings (*context*) of repeated anchors to the anchor's bucket. Of equal
-   contexts within a block only the earliest document's goes out, the rest are decided on the spot.
-   Anchors of very many blocks send each window on its own, to a bucket by the window's hash, so that
-   no bucket gathers the surroundings of a passage which a third of all documents share;
-4. a bucket sorts its contexts, decides which windows occur earlier, and answers spans to the blocks.
+3. a block sends, for each repeated anchor, a hash of its surroundings (*context*) and its place, no text;
+4. a bucket finds anchors with equal contexts. All but the earliest document's are decided; an anchor
+   with one context needs nothing more; of the others one place for each context is asked for;
+5. a block sends the text of these contexts to the anchor's bucket. Anchors of very many blocks send each
+   window on its own, to a bucket by the window's hash, so that no bucket gathers the surroundings of
+   a passage which a third of all documents share (their contexts were dealt by context in step 3);
+6. a bucket sorts its contexts, decides which windows occur earlier, and answers spans to the blocks.
 
 Memory per task: one block's texts (``BLOCK_BYTES``, or one document) or one bucket's arrays.
 """
@@ -31,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, RollingHash, byte_strings, word_bounds
+from .common import BYTE_CODES, RollingHash, byte_strings, mix, word_bounds
 
 #: Text of one block of documents, and of the pieces in which it is hashed.
 BLOCK_BYTES, PIECE_BYTES = 3 << 20, 1 << 20
@@ -39,6 +41,11 @@ BLOCK_BYTES, PIECE_BYTES = 3 << 20, 1 << 20
 HOT_BLOCKS = 48
 MESSAGE = "key int, origin int, kind int, blob binary"
 SPAN = np.dtype([("row", "u4"), ("start", "u4"), ("end", "u4")])
+#: A context by its hash, and where it is.
+CLASS = np.dtype([("context", "u8"), ("anchor", "u4"), ("doc", "i8"), ("row", "u4"), ("pos", "i4"), ("lo", "u1"), ("hi", "u1"), ("hot", "?")])
+PLACE = np.dtype([("row", "u4"), ("pos", "i4"), ("lo", "u1"), ("hi", "u1"), ("hot", "?"), ("anchor", "u8")])
+#: Bits and bytes of an anchor's name in the screen. Names that agree by chance only cost a context hash.
+NAME_BITS, NAME_BYTES = 47, 6
 
 
 class Windows:
@@ -153,6 +160,22 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"key": pa.array(key, pa.int32()), "origin": pa.array(origin, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
+def narrow(values: np.ndarray, size: int) -> bytes:
+    """The lower ``size`` bytes of 64-bit numbers, byte by byte: those that all share are squeezed out by Spark's codec."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def widen(blobs: list[bytes], size: int) -> np.ndarray:
+    """The numbers of several blobs of ``narrow``, joined."""
+    out = np.zeros((sum(map(len, blobs)) // size, 8), np.uint8)
+    at = 0
+    for blob in blobs:
+        n = len(blob) // size
+        out[at : at + n, :size] = np.frombuffer(blob, np.uint8).reshape(size, n).T
+        at += n
+    return out.view(np.uint64).ravel()
+
+
 def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, code: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> list[tuple[int, int, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
@@ -160,30 +183,76 @@ def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, code: Callabl
     return [(int(bucket[a]), origin, 0, code(values[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
 
 
-def repeated_keys(sent: DataFrame) -> DataFrame:
-    """Of messages with sorted distinct 64-bit keys (lowest bit: repeats within its sender): to each sender those that repeat.
+def repeated_keys(sent: DataFrame, size: int = 8) -> DataFrame:
+    """Of messages with sorted distinct keys of ``size`` bytes (lowest bit: repeats within its sender): to each sender those that repeat.
 
     In the answer the lowest bit tells that more than ``HOT_BLOCKS`` senders have the key.
     """
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = np.array([len(b) // 8 for b in table.column("blob").to_pylist()], np.int64)
-        values, _ = byte_strings(table.column("blob"))
-        values = values.view(np.uint64) if len(values) else np.empty(0, np.uint64)
+        blobs = table.column("blob").to_pylist()
+        stop = np.cumsum([0, *(len(b) // size for b in blobs)])
+        values = widen(blobs, size)
         name, inverse, count = np.unique(values >> np.uint64(1), return_inverse=True, return_counts=True)
         twice = np.bincount(inverse, (values & np.uint64(1)).astype(float), len(name)) > 0
         repeats, hot = (count > 1) | twice, (count > HOT_BLOCKS).astype(np.uint64)
-        stop = np.concatenate([[0], np.cumsum(sizes)])
         out = []
         for origin, a, b in zip(table.column("origin").to_pylist(), stop[:-1], stop[1:]):
             own = inverse[a:b][repeats[inverse[a:b]]]
             if len(own):
-                out.append((origin, key[0].as_py(), 0, (name[own] << np.uint64(1) | hot[own]).tobytes()))
+                out.append((origin, key[0].as_py(), 0, narrow(name[own] << np.uint64(1) | hot[own], size)))
         return messages(out)
 
     return sent.groupBy("key").applyInArrow(answer, MESSAGE)
 
 
+def earlier_contexts(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's context, whether an earlier row has it and so decides it); rows are in order of place."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((rows["anchor"], rows["context"]))
+    context, anchor = rows["context"][order], rows["anchor"][order]
+    new = np.concatenate([[True], (context[1:] != context[:-1]) | (anchor[1:] != anchor[:-1])])
+    name = np.empty(len(rows), np.int64)
+    name[order] = np.cumsum(new) - 1
+    head = np.empty(name.max() + 1, np.int64)
+    head[name[::-1]] = np.arange(len(rows))[::-1]
+    head = head[name]
+    return name, (np.arange(len(rows)) != head) if within else rows["doc"] > rows["doc"][head]
+
+
+def decide_contexts(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of a bucket, in order of place: (whether decided as earlier, whether its text is needed)."""
+    name, known = earlier_contexts(rows, within)
+    anchor = np.unique(rows["anchor"], return_inverse=True)[1]
+    least, most = np.full(len(rows) + 1, len(rows)), np.full(len(rows) + 1, -1)
+    np.minimum.at(least, anchor, name)
+    np.maximum.at(most, anchor, name)
+    # contexts of a hot anchor are in several buckets, so that its windows are needed even if one context is here
+    return known, ~known & (rows["hot"] | (least < most)[anchor])
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans of each row without overlaps."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["row"]))]
+    base = spans["row"].astype(np.int64) << 32
+    start, end = base + spans["start"], np.maximum.accumulate(base + spans["end"])
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    at = np.flatnonzero(new)
+    out = spans[at]
+    out["end"] = end[np.concatenate([at[1:], [len(spans)]]) - 1] - base[at]
+    return out
+
+
+def window_runs(rows: np.ndarray, width: int) -> np.ndarray:
+    """A span over all windows of each row."""
+    out = np.empty(len(rows), SPAN)
+    out["row"], out["start"], out["end"] = rows["row"], rows["pos"] + rows["lo"], rows["pos"] + rows["hi"].astype(np.int64) + width
+    return out
+
+
 def decide_equal(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
     """(rows in order of context and place, whether an earlier row has the same context and so decides it)."""
     rows = rows[np.lexsort((rows["pos"], rows["row"], rows["doc"]))]
@@ -234,7 +303,7 @@ def repeated_spans(
     docs: DataFrame, n: int, windows: Windows, resolve: Callable[[np.ndarray, Windows], np.ndarray]
 ) -> DataFrame:
     """Messages to each block with the spans of windows that occur earlier. docs: of ``blocks``."""
-    width, left = windows.width, windows.left
+    width, left, cut = windows.width, windows.left, np.uint64(64 - NAME_BITS)
 
     def told(messages: pa.Table) -> tuple[set[bytes], list[bytes]]:
         """(names of documents that are copies of smaller ones, other messages)."""
@@ -258,67 +327,112 @@ def repeated_spans(
         for row, data, ends in pieces(table):
             codes, symbols, starts = windows.symbols(data, ends)
             begin, end = starts[:-1], starts[1:] - (windows.kind == "bytes")  # the blank after a text is no byte of it
-            yield row, ids, symbols, begin, end, windows.anchors(codes, begin, end)
+            yield row, ids, codes, symbols, begin, end, windows.anchors(codes, begin, end)
 
     def screen(key: tuple, table: pa.Table, copied: pa.Table) -> pa.Table:
         name, doc = [], []
-        for row, ids, _, begin, _, (hashes, pos, _, _) in found(table, told(copied)[0]):
-            name.append(hashes >> np.uint64(1))
+        for row, ids, _, _, begin, _, (hashes, pos, _, _) in found(table, told(copied)[0]):
+            name.append(hashes)
             doc.append(ids[row + np.searchsorted(begin, pos, "right") - 1])
         if not name:
             return messages([])
         name, doc = np.concatenate(name), np.concatenate(doc)
         order = np.lexsort((doc, name))
         name, doc = name[order], doc[order]
-        first = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.empty(0, bool)
+        first = np.concatenate([[True], name[1:] >> cut != name[:-1] >> cut]) if len(name) else np.empty(0, bool)
         again = ~first
         if not windows.within:
             again[1:] &= doc[1:] != doc[:-1]
         group = np.cumsum(first) - 1
         twice = np.bincount(group, again, group[-1] + 1 if len(group) else 0) > 0
-        sent = name[first] << np.uint64(1) | twice.astype(np.uint64)
-        return messages(by_bucket(sent, bucket_of(sent, n), key[0].as_py()))
+        sent = name[first] >> cut << np.uint64(1) | twice.astype(np.uint64)
+        return messages(by_bucket(sent, bucket_of(name[first], n), key[0].as_py(), lambda x: narrow(x, NAME_BYTES)))
 
-    def surroundings(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         block = key[0].as_py()
         known, blobs = told(answers)
-        out = []
-        if known:
-            whole = whole_spans(ordered(table), known)
-            out.append((block % n, block, 1, whole.tobytes()))
-        if not blobs or not table.num_rows:
-            return messages(out)
-        wanted = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
+        local = [whole_spans(ordered(table), known)] if known else []
+        wanted = np.sort(widen(blobs, NAME_BYTES))
         wanted, hot = wanted >> np.uint64(1), (wanted & np.uint64(1)).astype(bool)
-        parts = []
-        for row, ids, symbols, begin, end, (hashes, pos, a, b) in found(table, known):
-            at = np.minimum(np.searchsorted(wanted, hashes >> np.uint64(1)), len(wanted) - 1)
-            use = np.flatnonzero(wanted[at] == hashes >> np.uint64(1))
-            if not len(use):
-                continue
-            hashes, pos, a, b, warm = hashes[use], pos[use], a[use], b[use], ~hot[at[use]]
-            span = np.pad(symbols, (left, left + width))
+        parts, hashed = [], []
+        for row, ids, codes, _, begin, _, (hashes, pos, a, b) in found(table, known) if len(wanted) and table.num_rows else ():
+            at = np.minimum(np.searchsorted(wanted, hashes >> cut), len(wanted) - 1)
+            use = np.flatnonzero(wanted[at] == hashes >> cut)
+            hashes, pos, a, b = hashes[use], pos[use], a[use], b[use]
             own = np.searchsorted(begin, pos, "right") - 1
-            rows = np.zeros(len(pos), windows.context)
-            rows["hash"], rows["doc"], rows["row"], rows["pos"] = hashes, ids[row + own], row + own, pos - left - begin[own]
+            rows = np.zeros(len(pos), CLASS)
+            rows["anchor"], rows["doc"], rows["row"], rows["pos"], rows["hot"] = hashes & np.uint64(0xFFFFFFFF), ids[row + own], row + own, pos - left - begin[own], hot[at[use]]
             rows["lo"], rows["hi"] = a - pos + left, b - pos + left
-            view = np.lib.stride_tricks.sliding_window_view(span, left + width)
-            text = view[pos].copy()
-            column = np.arange(left + width)
-            text[(column < (begin[own] - pos + left)[:, None]) | (column >= (end[own] - pos + left)[:, None])] = 0
+            place = (rows["lo"].astype(np.uint64) << np.uint64(8)) + rows["hi"]
+            rows["context"] = mix(RollingHash(codes).windows(a, b + width) + mix(place))
+            parts.append(rows)
+            hashed.append(hashes)
+        out = []
+        if parts:
+            rows, hashed = np.concatenate(parts), np.concatenate(hashed)
+            order = np.lexsort((rows["pos"], rows["row"], rows["doc"]))
+            rows, hashed = rows[order], hashed[order]
+            again = earlier_contexts(rows, windows.within)[1]
+            local.append(window_runs(rows[again], width))
+            rows, hashed = rows[~again], hashed[~again]
+            out = by_bucket(rows, bucket_of(np.where(rows["hot"], rows["context"], hashed), n), block, pack)
+        spans = merged(np.concatenate(local)) if local else np.empty(0, SPAN)
+        return messages(out + ([(block % n, block, 1, spans.tobytes())] if len(spans) else []))
+
+    def judge(key: tuple, table: pa.Table) -> pa.Table:
+        out, rows, origin = received(table, CLASS, 1)
+        order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
+        rows, origin = rows[order], origin[order]
+        known, needed = decide_contexts(rows, windows.within)
+        places = np.zeros(len(rows), PLACE)
+        for c in ("row", "pos", "lo", "hi", "hot"):
+            places[c] = rows[c]
+        places["anchor"] = (rows["anchor"].astype(np.uint64) << np.uint64(32)) | rows["anchor"]
+        for block in np.unique(origin):
+            own = origin == block
+            spans = window_runs(rows[own & known], width)
+            out += [(int(block), key[0].as_py(), kind, blob) for kind, blob in ((1, merged(spans).tobytes()), (3, places[own & needed].tobytes())) if blob]
+        return messages(out)
+
+    def received(table: pa.Table, kind: np.dtype, passed: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """(spans on their way to a block, packed rows, their origins)."""
+        out, parts, origins = [], [np.empty(0, kind)], [np.empty(0, np.int64)]
+        for origin, code, blob in zip(*(table.column(c).to_pylist() for c in ("origin", "kind", "blob"))):
+            if code:
+                out.append((origin, table.column("key")[0].as_py(), passed, blob))
+            else:
+                parts.append(unpack(blob, kind))
+                origins.append(np.full(len(parts[-1]), origin))
+        return out, np.concatenate(parts), np.concatenate(origins)
+
+    def surroundings(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        block, table = key[0].as_py(), ordered(table)
+        blobs = {kind: [b for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == kind] for kind in (1, 3)}
+        places = np.frombuffer(b"".join(blobs[3]), PLACE)
+        places = places[np.lexsort((places["pos"], places["row"]))]
+        spans = [np.frombuffer(b"".join(blobs[1]), SPAN)]
+        ids, parts = table.column("doc").to_numpy(), [np.empty(0, windows.context)]
+        for row, data, ends in pieces(table) if len(places) else ():
+            mine = places[slice(*np.searchsorted(places["row"], [row, row + len(ends) - 1]))]
+            if not len(mine):
+                continue
+            _, symbols, starts = windows.symbols(data, ends)
+            rows = np.zeros(len(mine), windows.context)
+            for c in ("row", "pos", "lo", "hi", "hot"):
+                rows[c] = mine[c]
+            rows["hash"], rows["doc"] = mine["anchor"], ids[mine["row"]]
+            view = np.lib.stride_tricks.sliding_window_view(np.pad(symbols, (left, left + width)), left + width)
+            text, column = view[starts[mine["row"] - row] + mine["pos"] + left].copy(), np.arange(left + width)
             text[(column < rows["lo"][:, None]) | (column >= rows["hi"][:, None].astype(int) + width)] = 0  # what none of its windows needs
             rows["text"] = text
-            rows["hot"] = ~warm
             parts.append(rows)
-        if not parts:
-            return messages(out)
-        rows, local = undecided(np.concatenate(parts))
+        rows = np.concatenate(parts)
         single, more = undecided(alone(rows[rows["hot"]]))
-        rows, local = np.concatenate([rows[~rows["hot"]], single]), np.concatenate([local, more])
+        rows = np.concatenate([rows[~rows["hot"]], single])
         bucket = bucket_of(rows["hash"], n)
         rows["hash"] = 0  # the bucket tells anchors apart by their symbols
-        out += by_bucket(rows, bucket, block, pack)
-        return messages(out + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
+        local = merged(np.concatenate([*spans, more]))
+        return messages(by_bucket(rows, bucket, block, pack) + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
 
     def whole_spans(table: pa.Table, known: set[bytes]) -> np.ndarray:
         """A span over each copy that has a window at all."""
@@ -349,15 +463,8 @@ def repeated_spans(
         return out
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        out, parts, origins = [], [], []
-        for origin, kind, blob in zip(*(table.column(c).to_pylist() for c in ("origin", "kind", "blob"))):
-            if kind:
-                out.append((origin, key[0].as_py(), 0, blob))
-            else:
-                parts.append(unpack(blob, windows.context))
-                origins.append(np.full(len(parts[-1]), origin))
-        if parts:
-            rows, origin = np.concatenate(parts), np.concatenate(origins)
+        out, rows, origin = received(table, windows.context, 0)
+        if len(rows):
             anchor = np.ascontiguousarray(rows["text"][:, left : left + windows.reach])
             rows["hash"] = group_rows(anchor.view(np.uint8).reshape(len(rows), -1))
             order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
@@ -374,8 +481,11 @@ def repeated_spans(
         return messages(out)
 
     copied = copies(docs)
-    answers = repeated_keys(docs.groupBy("block").cogroup(copied.groupBy("key")).applyInArrow(screen, MESSAGE)).unionByName(copied)
-    sent = docs.groupBy("block").cogroup(answers.groupBy("key")).applyInArrow(surroundings, MESSAGE)
+    sent = docs.groupBy("block").cogroup(copied.groupBy("key")).applyInArrow(screen, MESSAGE)
+    answers = repeated_keys(sent, NAME_BYTES).unionByName(copied)
+    sent = docs.groupBy("block").cogroup(answers.groupBy("key")).applyInArrow(contexts, MESSAGE)
+    judged = sent.groupBy("key").applyInArrow(judge, MESSAGE)
+    sent = docs.groupBy("block").cogroup(judged.groupBy("key")).applyInArrow(surroundings, MESSAGE)
     return sent.groupBy("key").applyInArrow(settle, MESSAGE)
 
 
