@@ -13,8 +13,8 @@ Six exchanges, all of packed arrays, and one exchange of the texts that Spark re
 3. a block sends, for each repeated anchor, a hash of its surroundings (*context*) and its place, no text;
 4. a bucket finds anchors with equal contexts. All but the earliest document's are decided; an anchor
    with one context needs nothing more; of the others one place for each context is asked for;
-5. a block sends the text of these contexts to the anchor's bucket. Anchors of very many blocks send each
-   window on its own, to a bucket by the window's hash, so that no bucket gathers the surroundings of
+5. a block sends the text of these contexts to the anchor's bucket. Anchors of very many blocks send the
+   hash (96 bits) and place of each window, to a bucket by that hash, so that no bucket gathers the surroundings of
    a passage which a third of all documents share (their contexts were dealt by context in step 3);
 6. a bucket sorts its contexts, decides which windows occur earlier, and answers spans to the blocks.
 
@@ -46,6 +46,8 @@ CLASS = np.dtype([("context", "u8"), ("anchor", "u4"), ("doc", "i8"), ("row", "u
 PLACE = np.dtype([("row", "u4"), ("pos", "i4"), ("lo", "u1"), ("hi", "u1"), ("hot", "?"), ("anchor", "u8")])
 #: Bits and bytes of an anchor's name in the screen. Names that agree by chance only cost a context hash.
 NAME_BITS, NAME_BYTES = 47, 6
+#: Kind of the messages with windows of hot anchors.
+HOT = 4
 
 
 class Windows:
@@ -176,11 +178,11 @@ def widen(blobs: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, code: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> list[tuple[int, int, int, bytes]]:
+def by_bucket(values: np.ndarray, bucket: np.ndarray, origin: int, code: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    return [(int(bucket[a]), origin, 0, code(values[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
+    return [(int(bucket[a]), origin, kind, code(values[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
 
 
 def repeated_keys(sent: DataFrame, size: int = 8) -> DataFrame:
@@ -253,18 +255,6 @@ def window_runs(rows: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def decide_equal(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(rows in order of context and place, whether an earlier row has the same context and so decides it)."""
-    rows = rows[np.lexsort((rows["pos"], rows["row"], rows["doc"]))]
-    if not len(rows):
-        return rows, np.zeros(0, bool)
-    name = same_context(rows)
-    first = np.full(name.max() + 1, -1)
-    first[name[::-1]] = np.arange(len(name))[::-1]
-    head = first[name]
-    return rows, (np.arange(len(rows)) != head) if within else rows["doc"] > rows["doc"][head]
-
-
 def group_rows(table: np.ndarray) -> np.ndarray:
     """A number for each distinct row of a byte matrix."""
     width = -table.shape[1] % 8
@@ -380,9 +370,8 @@ def repeated_spans(
         return messages(out + ([(block % n, block, 1, spans.tobytes())] if len(spans) else []))
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
-        out, rows, origin = received(table, CLASS, 1)
-        order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
-        rows, origin = rows[order], origin[order]
+        out, joined = received(table, {0: CLASS}, 1)
+        rows, origin = joined[0]
         known, needed = decide_contexts(rows, windows.within)
         places = np.zeros(len(rows), PLACE)
         for c in ("row", "pos", "lo", "hi", "hot"):
@@ -394,16 +383,21 @@ def repeated_spans(
             out += [(int(block), key[0].as_py(), kind, blob) for kind, blob in ((1, merged(spans).tobytes()), (3, places[own & needed].tobytes())) if blob]
         return messages(out)
 
-    def received(table: pa.Table, kind: np.dtype, passed: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """(spans on their way to a block, packed rows, their origins)."""
-        out, parts, origins = [], [np.empty(0, kind)], [np.empty(0, np.int64)]
+    def received(table: pa.Table, kinds: dict[int, np.dtype], passed: int) -> tuple[list[tuple], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """(spans on their way to a block, for each kind of packed rows in order of place: rows and their origins)."""
+        out, parts = [], {k: ([np.empty(0, kind)], [np.empty(0, np.int64)]) for k, kind in kinds.items()}
         for origin, code, blob in zip(*(table.column(c).to_pylist() for c in ("origin", "kind", "blob"))):
-            if code:
-                out.append((origin, table.column("key")[0].as_py(), passed, blob))
+            if code in kinds:
+                parts[code][0].append(unpack(blob, kinds[code]))
+                parts[code][1].append(np.full(len(parts[code][0][-1]), origin))
             else:
-                parts.append(unpack(blob, kind))
-                origins.append(np.full(len(parts[-1]), origin))
-        return out, np.concatenate(parts), np.concatenate(origins)
+                out.append((origin, table.column("key")[0].as_py(), passed, blob))
+        joined = {}
+        for k, (rows, origin) in parts.items():
+            rows, origin = np.concatenate(rows), np.concatenate(origin)
+            order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
+            joined[k] = rows[order], origin[order]
+        return out, joined
 
     def surroundings(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         block, table = key[0].as_py(), ordered(table)
@@ -427,48 +421,50 @@ def repeated_spans(
             rows["text"] = text
             parts.append(rows)
         rows = np.concatenate(parts)
-        single, more = undecided(alone(rows[rows["hot"]]))
-        rows = np.concatenate([rows[~rows["hot"]], single])
+        single = alone(rows[rows["hot"]])
+        single = single[np.lexsort((single["pos"], single["row"], single["doc"]))]
+        again = earlier_contexts(single, windows.within)[1]
+        local = merged(np.concatenate([*spans, window_runs(single[again], width)]))
+        single, rows = single[~again], rows[~rows["hot"]]
+        out = by_bucket(single, bucket_of(single["context"], n), block, pack, HOT)
         bucket = bucket_of(rows["hash"], n)
         rows["hash"] = 0  # the bucket tells anchors apart by their symbols
-        local = merged(np.concatenate([*spans, more]))
-        return messages(by_bucket(rows, bucket, block, pack) + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
+        out += by_bucket(rows, bucket, block, pack)
+        return messages(out + ([(block % n, block, 1, local.tobytes())] if len(local) else []))
 
     def whole_spans(table: pa.Table, known: set[bytes]) -> np.ndarray:
         """A span over each copy that has a window at all."""
         sizes = [(i, len(x) if windows.kind == "bytes" else len(x.split())) for i, x in copied_rows(table, known)]
         return np.array([(i, 0, k) for i, k in sizes if k >= width], SPAN)
 
-    def undecided(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows that a bucket has to decide, spans of those that this block's own documents decide)."""
-        rows, known = decide_equal(rows, windows.within)
-        return rows[~known], spans_of(rows[known], valid(rows[known], left), width)
-
     def alone(rows: np.ndarray) -> np.ndarray:
-        """A row for each window, named by the window's own hash."""
+        """A row for each window, named by the window's own hash and its anchor's."""
         count = rows["hi"].astype(int) - rows["lo"] + 1
         i = np.repeat(np.arange(len(rows)), count)
         offset = rows["lo"][i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         if not len(rows):
-            return np.zeros(0, windows.context)
+            return np.zeros(0, CLASS)
         view = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(rows["text"]), width, 1)
-        out = np.zeros(len(i), windows.context)
-        text = view[i, offset]
-        out["text"][:, :width] = text
+        out = np.zeros(len(i), CLASS)
+        out["anchor"] = rows["hash"][i] & np.uint64(0xFFFFFFFF)
         out["doc"], out["row"], out["pos"] = rows["doc"][i], rows["row"][i], rows["pos"][i] + offset
         for k in range(0, len(i), 1 << 14):
-            codes = (text[k : k + (1 << 14)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            some = slice(k, k + (1 << 14))
+            codes = mix((view[i[some], offset[some]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             start = np.arange(len(codes)) * width
-            out["hash"][k : k + (1 << 14)] = RollingHash(codes.ravel()).windows(start, start + width)
+            out["context"][some] = RollingHash(codes.ravel()).windows(start, start + width)
         return out
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        out, rows, origin = received(table, windows.context, 0)
+        out, joined = received(table, {0: windows.context, HOT: CLASS}, 0)
+        rows, origin = joined[HOT]
+        again = earlier_contexts(rows, windows.within)[1]
+        for block in np.unique(origin[again]):
+            out.append((int(block), key[0].as_py(), 0, merged(window_runs(rows[again & (origin == block)], width)).tobytes()))
+        rows, origin = joined[0]
         if len(rows):
             anchor = np.ascontiguousarray(rows["text"][:, left : left + windows.reach])
             rows["hash"] = group_rows(anchor.view(np.uint8).reshape(len(rows), -1))
-            order = np.lexsort((rows["pos"], rows["row"], origin, rows["doc"]))
-            rows, origin = rows[order], origin[order]
             own_row = rows["row"].copy()
             _, rows["row"] = np.unique(origin.astype(np.int64) << 32 | own_row, return_inverse=True)  # rows of several blocks apart
             flags = resolve(rows, windows) & valid(rows, left)
