@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import windrose.plans.more  # registers its queries
+import windrose.plans.sites  # registers its queries
 from oracle import compare
 from pyspark.sql import functions as F
 
@@ -75,3 +76,9 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = counted.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == rows.count()
+
+
+def test_label_priority(spark):
+    rows = [("Base", 3000, True), (None, 12000, False), ("", 12000, False), ("Dover Afb", 0, False), ("Lake International", 3000, False), ("Long", 10000, False), ("Mid", 5000, None), ("Mid", 4999, False), ("Mid", None, False)]
+    df = spark.createDataFrame(rows, "n string, r int, m boolean")
+    assert [x[0] for x in df.select(classify.label_priority(F.col("n"), F.col("r"), F.col("m"))).collect()] == [1, 4, 4, 1, 2, 2, 3, 4, 4]
