@@ -5,8 +5,8 @@ time. Ties are long by nature here; they are resolved by precomputed ranks of co
 windows meet a cover position at one common offset, so two windows are equal exactly when the
 ranks of their samples agree, forwards from the sample to the window's end and backwards to its
 start. Ranks at each depth come from one sort in each direction and the common prefixes of neighbours.
-A classical cover fixes sample positions by residue; residues are not comparable between
-documents at different offsets, which is why the cover is content-defined.
+A classical cover fixes sample positions by residue. It too would serve any two positions, but finding which
+are equal would mean to sort all suffixes of the corpus; see the README.
 
 Removed is each byte covered by a ``width``-byte string that also starts in a document of smaller
 ``doc_id``, judged on the input.
