@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, bpe, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup
+from . import automaton_dedup, bpe, conversation_trie, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,29 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def regrown(turns: DataFrame) -> DataFrame:
+    """Every conversation c begins with the first h turns of conversation c - c % 5 in place of its own; h is crc32(c) % 9."""
+    ids = turns.groupBy("conv_id").agg(F.max("at").alias("n"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    given = ids.select(F.col("conv_id").alias("donor"), "n")
+    plan = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("donor"), heads.alias("h")).join(given, "donor", "left")
+    plan = plan.select("conv_id", "donor", "h", F.least("h", F.coalesce("n", F.lit(0))).alias("got"))
+    own = turns.join(plan, "conv_id").where("at > h").select("conv_id", (F.col("at") - F.col("h") + F.col("got")).alias("at"), "a", "b", "bytes")
+    lent = turns.where("at < 9").withColumnRenamed("conv_id", "donor").join(plan, "donor").where("at <= h")
+    return own.unionByName(lent.select("conv_id", "at", "a", "b", "bytes"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.keyed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.trie(regrown(turns), turns.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES_SQL}
+    return {"op3_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL}
 
 
 LINES_SQL = """
@@ -89,8 +106,29 @@ select line.doc_id, count(gone.i) as n_removed, sha256(coalesce(string_agg(line.
 from line left join gone on line.doc_id = gone.doc_id and line.i = gone.i group by line.doc_id
 """
 
+#: A node is the list of its first turns; crc32 goes bit by bit over the digits of the id.
+TRIE_SQL = """
+with recursive ranked as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+  from conversations where conv_id is not null),
+own as (select conv_id, list({'role': role, 'text': text} order by place) as turns from ranked group by conv_id),
+headed as (select conv_id, turns, (4294967295 - list_reduce(
+  flatten(list_transform(range(1, length(cast(conv_id as varchar)) + 1), lambda i: [cast(ascii(substr(cast(conv_id as varchar), i, 1)) as bigint), 0, 0, 0, 0, 0, 0, 0])),
+  lambda s, x: (xor(s, x) >> 1) * (1 - (xor(s, x) & 1)) + xor(xor(s, x) >> 1, 3988292384) * (xor(s, x) & 1), cast(4294967295 as bigint))) % 9 as h from own),
+built as (select c.conv_id, list_concat(coalesce(list_slice(d.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, length(c.turns))) as turns
+  from headed c left join headed d on d.conv_id = c.conv_id - c.conv_id % 5),
+member as (select conv_id, list_slice(turns, 1, depth) as node, depth, length(turns) = depth as ends from (select conv_id, turns, unnest(range(0, length(turns) + 1)) as depth from built)),
+node as (select node, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from member group by node, depth),
+kids as (select list_slice(node, 1, depth - 1) as node, depth - 1 as depth, count(*) as n_children from node where depth > 0 group by 1, 2),
+known as (select n.*, coalesce(k.n_children, 0) as n_children, case when n.depth = 0 then 0 else (n.n_convs - 1) * strlen(n.node[n.depth].text) end as saved from node n left join kids k on n.node = k.node and n.depth = k.depth),
+below as (select list_slice(node, 1, up) as node, up as depth, count(*) filter (where n_children = 0) as n_leaves, sum(saved) as saved_tokens from (select *, unnest(range(0, depth + 1)) as up from known) group by 1, 2)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, cast(b.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from known n join below b on n.node = b.node and n.depth = b.depth left join known p on p.depth = n.depth - 1 and p.node = list_slice(n.node, 1, n.depth - 1)
+"""
+
 
 QUERIES = (
     op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_automaton_dedup, op5_surrogates,
     op6_quality_outliers, op7_bpe, op8_importance, op9_language_codes, op10_jaccard_join,
+    op11_prefix_trie,
 )
