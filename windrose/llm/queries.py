@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, bpe, conversation_trie, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup
+from . import automaton_dedup, bpe, conversation_trie, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(regrown(turns), turns.select("conv_id"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = token_counts.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    n = token_counts.total().cast("long")
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > 2048).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -130,5 +137,5 @@ from known n join below b on n.node = b.node and n.depth = b.depth left join kno
 QUERIES = (
     op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_automaton_dedup, op5_surrogates,
     op6_quality_outliers, op7_bpe, op8_importance, op9_language_codes, op10_jaccard_join,
-    op11_prefix_trie,
+    op11_prefix_trie, op12_token_counts,
 )
