@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, bpe, conversation_trie, decontamination, importance, jaccard_join, language_codes, line_dedup, pii, quality_outliers, suffix_dedup, token_counts
+from . import automaton_dedup, bpe, conversation_trie, decontamination, importance, jaccard_join, language_codes, lexical_search, line_dedup, pii, quality_outliers, suffix_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +96,17 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > 2048).alias("over_limit"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(documents(spark, sf_dir))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL}
+    return {"op3_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL, "op13_lexical_search": SEARCH_SQL}
 
 
 LINES_SQL = """
@@ -133,9 +138,22 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children,
 from known n join below b on n.node = b.node and n.depth = b.depth left join known p on p.depth = n.depth - 1 and p.node = list_slice(n.node, 1, n.depth - 1)
 """
 
+SEARCH_SQL = r"""
+with word as (select *, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select true as doc, doc_id as id, text from documents union all select false, item_id, text from benchmark)),
+tf as (select id, term, count(*) as tf from word where doc group by all),
+size as (select id, sum(tf) as n from tf group by id),
+corpus as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from size),
+weight as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, corpus group by term),
+part as (select id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * cast(n as bigint) * n_docs) // n_terms)) as s from tf join size using (id), corpus),
+score as (select q.id as item_id, p.id as doc_id, cast(sum(w * s) as bigint) as score from word q join weight using (term) join part p using (term) where not q.doc group by all having sum(w * s) > 0)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from score
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20
+"""
+
 
 QUERIES = (
     op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_automaton_dedup, op5_surrogates,
     op6_quality_outliers, op7_bpe, op8_importance, op9_language_codes, op10_jaccard_join,
-    op11_prefix_trie, op12_token_counts,
+    op11_prefix_trie, op12_token_counts, op13_lexical_search,
 )
