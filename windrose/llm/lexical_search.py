@@ -1,8 +1,8 @@
 """Ranked lexical search by hashed max-sketches: upper bounds of all documents' scores, and exact scores only where a bound calls for them.
 
 ``build`` counts the corpus, then writes an index: each document with a sketch of its terms. A sketch has a power of two of cells, at least
-twice its distinct terms; each term's impact (the most it can add to a score) is folded into the cell of the term's hash, and the largest
-stays, rounded up to one byte. So the sum of a query's cells, looked up for a batch of documents at once, is never below the score.
+``CELLS`` times its distinct terms; each term's impact (the most it can add to a score) is folded into three cells by hashes of the term, where the largest
+stays, rounded up to one byte. A query's terms are looked up for a batch of documents at once: the least of a term's cells is never below its impact, so their sum is never below the score.
 
 ``search`` takes queries in blocks of at most ``QUERY_BYTES``, each in two passes over the index. The first reads the sketches only and scores exactly the
 ``FIRST`` documents of highest bound for each query: the ``k``-th best of these is a score that the result must reach. The second goes down each batch's bounds and scores
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.latest import top_per_key
 from .common import materialize, shared_dir
 
-HEAVY, FIRST, QUERY_BYTES, MEMO = 1 << 16, 32, 8 << 20, 300_000
+HEAVY, FIRST, QUERY_BYTES, MEMO, CELLS = 1 << 16, 32, 8 << 20, 300_000, 8
 #: Bytes to what they are in a term: blank for a separator, lower case for A to Z.
 _PLAIN = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 _INDEX = "row long, doc_id long, text string, n long, sketch binary"
@@ -94,8 +94,12 @@ class Scale:
         return 75 + (25 * n * self.documents) // self.total
 
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
 def cells(width: int, codes: np.ndarray) -> np.ndarray:
-    return codes & np.uint32(width - 1)
+    """Three cells (columns) for each term's hash."""
+    return (codes[:, None] * _MIX >> np.uint64(32)) & np.uint64(width - 1)
 
 
 class Sketcher:
@@ -115,10 +119,11 @@ class Sketcher:
         both = np.array([known(t) or self.code(t) for t in counts], np.int64)
         tf = np.fromiter(counts.values(), np.int64, len(counts))
         impact = both[:, 1] * (1_000_000_000 * tf // (1000 * tf + 12 * self.scale.norm(len(own))))
-        width = max(64, 1 << (2 * len(counts) - 1).bit_length())
+        width = max(64, 1 << (CELLS * len(counts) - 1).bit_length())
         sketch = np.zeros(width, np.uint8)
         order = np.argsort(impact)  # of those that share a cell the last, and largest, stays
-        sketch[cells(width, both[order, 0].astype(np.uint32))] = -(-impact[order] // self.scale.unit)
+        at = cells(width, both[order, 0].astype(np.uint64))
+        sketch[at.ravel()] = np.repeat(-(-impact[order] // self.scale.unit), at.shape[1])
         return sketch.tobytes()
 
 
@@ -166,7 +171,7 @@ class Queries:
         self.keys = [q for q, _, _ in items]
         self.counts = [{t: c * weights[t] for t, c in counts.items() if weights.get(t)} for _, counts, _ in items]
         self.least = [least for _, _, least in items]  # a score that a result must reach
-        self.codes = [np.fromiter(map(zlib.crc32, c), np.uint32, len(c)) for c in self.counts]
+        self.codes = [np.fromiter(map(zlib.crc32, c), np.uint64, len(c)) for c in self.counts]
         self.times = [np.array([counts[t] for t in c], np.int64) for (_, counts, _), c in zip(items, self.counts)]
 
     def bounds(self, sketches: pa.Array) -> np.ndarray:
@@ -177,7 +182,8 @@ class Queries:
             at = np.flatnonzero(widths == width)
             table = np.frombuffer(b"".join([sketches[i].as_buffer() for i in at.tolist()]), np.uint8).reshape(len(at), width).T
             for q, (codes, times) in enumerate(zip(self.codes, self.times)):
-                out[q, at] = times @ table[cells(int(width), codes)]
+                a, b, c = cells(int(width), codes).T
+                out[q, at] = times @ np.minimum(np.minimum(table[a], table[b]), table[c])
         return out * self.scale.unit
 
     def score(self, q: int, own: Counter, norm: int) -> int:
