@@ -6,7 +6,7 @@
 Method: a token sequence is the encoding of its symbols exactly when each two neighbours are the encoding of their own
 concatenation. So the last token of a word's prefix is the one token ending there that agrees with the last token before it, and
 counts follow from left to right: one table for prefixes that go on, one for those that end the word and so carry the mark.
-A pair is judged once by merging it and then remembered, as are the counts of short words; both memories are bounded.
+A pair is judged once by looking back through its merges and then remembered, as are the counts of short words; both memories are bounded.
 
 Around the words: normalisation and splitting of a text are those of the vocabulary file, so prefixes that cut a composed character,
 a special token or a contraction count as what is left of them would. A text in which every character stands for itself
@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Words and pairs that a worker remembers before it starts afresh; only words of at most LONG characters are.
-MEMO, LONG = 400_000, 48
+MEMO, LONG = 800_000, 48
 #: Bytes of text whose counts a task holds at once.
 SLICE = 4 << 20
 
@@ -57,7 +58,6 @@ class Words:
         name = lambda t: (bytes(symbols[c] for c in t.removesuffix(mark)), bool(mark) and t.endswith(mark))
         self.plain: dict[bytes, int] = {}
         self.ended: dict[bytes, int] = {}
-        self.symbols: dict[int, list[int]] = {}
         for token, id in vocabulary.items():
             word, ends = name(token)
             (self.ended if ends else self.plain)[word] = id
@@ -65,12 +65,12 @@ class Words:
             self.ended = self.plain
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.ranks = {(vocabulary[a], vocabulary[b]): (k, vocabulary[a + b]) for k, (a, b) in enumerate(pairs)}
-        for table, ends in ((self.plain, False), (self.ended, bool(mark))):
-            for word, id in table.items():
-                if all(word[i : i + 1] in self.plain for i in range(len(word))) and word[-1:] in self.ended:
-                    own = [self.plain[word[i : i + 1]] for i in range(len(word))]
-                    self.symbols[id] = own[:-1] + [self.ended[word[-1:]]] if ends else own
-        self.whole = {id: self.merge(s) == [id] for id, s in self.symbols.items()}
+        #: What each token was merged from and when; single symbols were there before.
+        self.made = {id: (rank, a, b) for (a, b), (rank, id) in self.ranks.items()}
+        first = [self.plain[w] for w in self.plain if len(w) == 1] + [self.ended[w] for w in self.ended if len(w) == 1]
+        self.whole = dict.fromkeys(first, True)
+        for rank, ((a, b), (_, id)) in enumerate(self.ranks.items()):
+            self.whole[id] = self.whole.get(a, False) and self.whole.get(b, False) and self.apart(a, b, rank)
         usable = lambda table: {w: id for w, id in table.items() if id in self.whole}
         plain, ended = usable(self.plain), usable(self.ended)
         #: Of each ending of a token: the token that it is itself, going on and ending a word. A longer match than any of these cannot begin.
@@ -78,16 +78,20 @@ class Words:
         self.pairs: dict[int, dict[int, bool]] = {}
         self.known = 0
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """The plain definition: merge the leftmost pair of lowest rank until none has a rank."""
-        ids, ranks = list(ids), self.ranks
-        while len(ids) > 1:
-            best = min(((ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
-        return ids
+    def apart(self, a: int, b: int, until: float = math.inf) -> bool:
+        """Whether no merge of a rank below ``until`` joins neighbours a and b, each whole: look back through what stood at their border, undoing the later merge first."""
+        ranks, made = self.ranks, self.made
+        while True:
+            joint = ranks.get((a, b))
+            if joint is not None and joint[0] < until:
+                return False
+            one, two = made.get(a), made.get(b)
+            if one is not None and (two is None or one[0] > two[0]):
+                until, a = one[0], one[2]
+            elif two is not None:  # of equal ranks the left merges first
+                until, b = two[0] + 1, two[1]
+            else:
+                return True
 
     def agree(self, a: int, b: int) -> bool:
         """Whether the encoding of a and b together is a and b."""
@@ -95,8 +99,7 @@ class Words:
             self.pairs.clear()
             self.known = 0
         self.known += 1
-        fits = self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
-        self.pairs.setdefault(a, {})[b] = fits
+        fits = self.pairs.setdefault(a, {})[b] = self.whole[b] and self.apart(a, b)
         return fits
 
     def extend(self, word: bytes, lasts: list[int], counts: list[int], ends: list[int], wanted: range) -> None:
