@@ -54,28 +54,21 @@ def weight(documents: int, df: int) -> int:
 
 
 def corpus_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, total): documents that hold a term and its occurrences; the null term counts documents with a term."""
+    """(term, df, total): documents that hold a term; the null term counts documents with a term and, as total, all terms with repeats."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, documents = Counter(), Counter(), 0
+        held, documents, total = Counter(), 0, 0
         schema = pa.schema([("term", pa.binary()), ("df", pa.int64()), ("total", pa.int64())])
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([[*held, None], [*held.values(), documents], [*(total[t] for t in held), 0]], schema=schema)
-            held.clear()
-            total.clear()
-            return out
-
         for batch in batches:
             for value in batch.column(0):
                 own = terms(value.as_py())
                 documents += bool(own)
-                total.update(own)
+                total += len(own)
                 held.update(set(own))
                 if len(held) > MEMO:
-                    yield flush()
-                    documents = 0
-        yield flush()
+                    yield pa.record_batch([[*held], [*held.values()], [0] * len(held)], schema=schema)
+                    held.clear()
+        yield pa.record_batch([[*held, None], [*held.values(), documents], [*[0] * len(held), total]], schema=schema)
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "term binary, df long, total long")
     return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
