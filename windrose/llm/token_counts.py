@@ -104,14 +104,17 @@ class Words:
 
     def extend(self, word: bytes, lasts: list[int], counts: list[int], ends: list[int], wanted: range) -> None:
         """Last tokens and counts of the prefixes of ``wanted`` lengths, from those of shorter ones; into ``ends`` the counts of those that end the word at a whole character."""
-        parts, pairs, whole, size = self.parts, self.pairs, self.whole, len(word)
+        parts, pairs, whole, size = self.parts.get, self.pairs, self.whole, len(word)
         for i in wanted:
-            reach = 1  # the longest ending of a token here
-            while reach < i and word[i - reach - 1 : i] in parts:
-                reach += 1
+            found, k = [], 1  # tokens that end here, from the shortest
+            while k <= i and (part := parts(word[i - k : i])) is not None:
+                found.append(part)
+                k += 1
             want, stop = None, None if i == size or word[i] & 0xC0 != 0x80 else False
-            for k in range(reach, 0, -1):  # the right token is mostly the longest
-                goes, ended = parts[word[i - k : i]]
+            for goes, ended in reversed(found):  # the right token is mostly the longest
+                k -= 1
+                if goes is None and ended is None:
+                    continue
                 last = lasts[i - k]
                 near = pairs.get(last, _NONE)
                 if want is None and goes is not None:
