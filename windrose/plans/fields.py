@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.projection import Geostationary, Lambert
+from ..operators.raster import Grid, mosaic, nearest_pixel, resample
 from ..operators.surface import surface
 from .roles import role, sql
 from .weather import QUERIES, query
@@ -39,3 +41,54 @@ def region_wind_surface(spark: SparkSession, sf: str) -> DataFrame:
     rows = role(spark, sf, "winds").join(role(spark, sf, "airports"), "station_id")
     centres = rows.groupBy("region").agg(*[F.round(F.avg(c), 4).alias(n) for c, n in (("lat", "lat"), ("lon", "lon"), ("speed", "v"))])
     return surface(centres, (24, 50, 2), (-125, -65, 2)).select("glat", "glon", F.round("value", 3).alias("value"), "inside")
+
+
+#: The view of two satellites as rasters of 40 x 70 pixels, made of orders' lines: the side, the pixel and the frame follow from keys.
+_RASTER = "select l_linenumber % 2 as side, cast(l_orderkey % 40 as bigint) as row, cast(l_partkey % 70 as bigint) as col, round(avg(l_quantity), 4) as value from lineitem group by 1, 2, 3"
+EAST, WEST = Geostationary(-75.0), Geostationary(-137.0)
+EAST_GRID, WEST_GRID = Grid(-0.105, 0.13, 0.002, -0.002, 40, 70), Grid(-0.03, 0.13, 0.002, -0.002, 40, 70)
+
+
+def _view(x0: float, lon0: float) -> str:
+    return f"""select lat, lon, (0.13 - atan(north / ahead)) / 0.002 as r, (asin(-west / sqrt(ahead * ahead + west * west + north * north)) - ({x0})) / 0.002 as c from (
+  select lat, lon, 42164160 - own * cos(gc) * cos(radians(lon - ({lon0}))) as ahead, -own * cos(gc) * sin(radians(lon - ({lon0}))) as west, own * sin(gc) as north
+  from (select lat, lon, gc, 6356752.31414 / sqrt(1 - (1 - pow(6356752.31414 / 6378137, 2)) * cos(gc) * cos(gc)) as own from (select lat, lon, atan(pow(6356752.31414 / 6378137, 2) * tan(radians(lat))) as gc from g)))
+  where 42164160 * (42164160 - ahead) >= west * west + pow(6378137 / 6356752.31414, 2) * north * north"""
+
+
+def _pulled(view: str, side: int) -> str:
+    return f"""select lat, lon, sum(w * value) / sum(w) as value from (
+  select lat, lon, cast(floor(r) as bigint) + i as row, cast(floor(c) as bigint) + j as col, (case when i = 1 then r - floor(r) else 1 - r + floor(r) end) * (case when j = 1 then c - floor(c) else 1 - c + floor(c) end) as w
+  from ({view}), range(0, 2) a(i), range(0, 2) b(j) where r > -1 and c > -1 and r < 40 and c < 70) join raster using (row, col) where side = {side} and w > 0 group by lat, lon"""
+
+
+@query(f""", raster as ({_RASTER}), g as (select cast(24 + i * 0.5 as double) as lat, cast(-125 + j * 0.5 as double) as lon from range(0, 53) x(i), range(0, 119) y(j)),
+e as ({_pulled(_view(-0.105, -75), 0)}), w as ({_pulled(_view(-0.03, -137), 1)})
+select coalesce(e.lat, w.lat) as lat, coalesce(e.lon, w.lon) as lon, round(coalesce(e.value, w.value), 4) as value, case when e.value is null then 1 else 0 end as layer from e full join w on e.lat = w.lat and e.lon = w.lon""", "zones")
+def satellite_mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    """Two satellites' rasters on one grid of latitudes and longitudes; the eastern one where both see."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    raster = lines.groupBy((F.col("l_linenumber") % 2).alias("side"), (F.col("l_orderkey") % 40).cast("long").alias("row"), (F.col("l_partkey") % 70).cast("long").alias("col")).agg(F.round(F.avg("l_quantity"), 4).alias("value"))
+    steps = lambda first, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i * 0.5))
+    targets = spark.range(1).select(steps(24.0, 53).alias("lat")).select("lat", steps(-125.0, 119).alias("lon"))
+    layers = []
+    for side, (view, grid) in enumerate(((EAST, EAST_GRID), (WEST, WEST_GRID))):
+        seen = targets.withColumn("at", view.xy(F.col("lat"), F.col("lon"))).where("at is not null")
+        layers.append(resample(seen, raster.where(F.col("side") == side).drop("side"), grid, F.col("at.x"), F.col("at.y"), ["lat", "lon"], []))
+    return mosaic(layers, ["lat", "lon"]).select("lat", "lon", F.round("value", 4).alias("value"), "layer")
+
+
+_CONE = "(6371229 * cos(radians(38.5)) * pow(tan(pi() / 4 + radians(38.5) / 2), sin(radians(38.5))) / sin(radians(38.5)))"
+_RHO = f"{_CONE} / pow(tan(pi() / 4 + radians(lat) / 2), sin(radians(38.5)))"
+_BASE = f"{_CONE} / pow(tan(pi() / 4 + radians(38.5) / 2), sin(radians(38.5)))"
+
+
+@query(f""", raster as (select cast(l_orderkey % 60 as bigint) as row, cast(l_partkey % 90 as bigint) as col, max(l_quantity) as value from lineitem group by 1, 2),
+p as (select station_id, cast(round_even(({_BASE} - {_RHO} * cos(sin(radians(38.5)) * radians(lon + 97.5)) + 1600000) / 55000, 0) as bigint) as row, cast(round_even(({_RHO} * sin(sin(radians(38.5)) * radians(lon + 97.5)) + 2400000) / 54000, 0) as bigint) as col from airports)
+select station_id, p.row, p.col, value from p left join raster r on p.row = r.row and p.col = r.col where p.row between 0 and 59 and p.col between 0 and 89""", "airports")
+def airport_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """The model's value at each airport: the nearest pixel of a Lambert grid; airports off the grid go."""
+    raster = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy((F.col("l_orderkey") % 60).cast("long").alias("row"), (F.col("l_partkey") % 90).cast("long").alias("col")).agg(F.max("l_quantity").alias("value"))
+    airports = role(spark, sf, "airports").select("station_id", Lambert().xy(F.col("lat"), F.col("lon")).alias("at"))
+    found = nearest_pixel(airports, Grid(-2_400_000, -1_600_000, 54_000, 55_000, 60, 90), F.col("at.x"), F.col("at.y"))
+    return found.join(raster, ["row", "col"], "left").select("station_id", "row", "col", "value")
