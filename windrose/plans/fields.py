@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projection import Geostationary, Lambert
+from ..operators.radar import Canvas, composite
 from ..operators.raster import Grid, mosaic, nearest_pixel, resample
 from ..operators.surface import surface
 from .roles import role, sql
@@ -92,3 +93,23 @@ def airport_pixels(spark: SparkSession, sf: str) -> DataFrame:
     airports = role(spark, sf, "airports").select("station_id", Lambert().xy(F.col("lat"), F.col("lon")).alias("at"))
     found = nearest_pixel(airports, Grid(-2_400_000, -1_600_000, 54_000, 55_000, 60, 90), F.col("at.x"), F.col("at.y"))
     return found.join(raster, ["row", "col"], "left").select("station_id", "row", "col", "value")
+
+
+#: Lines of orders as bins of the radars at the suppliers' places.
+_BINS = [
+    "cast(l_suppkey as bigint) as radar", "cast((l_orderkey * 7 + l_linenumber) % 360 as double) as azimuth",
+    "cast(0.5 + l_linenumber % 3 * 0.5 as double) as beam", "cast(l_partkey % 230 as bigint) as bin", "cast(l_quantity as bigint) as value",
+]
+
+
+@query(f""", bin as (select b.*, s.lat, s.lon, (b.bin + 0.5) as km from (select {', '.join(_BINS)} from lineitem) b join sites s on s.site_id = b.radar where b.value > 1),
+beam as (select *, cast(greatest(2, least(8, floor(beam / 0.25) + 2)) as bigint) as n from bin where km <= 230),
+sample as (select radar, value, lat, lon, km, radians(azimuth + beam * i / (n - 1)) as a from beam, range(0, 8) x(i) where i < n),
+place as (select radar, value, lat + km * cos(a) / 111.32 as y, lon + km * sin(a) / (111.32 * cos(radians(lat))) + 125 as x from sample),
+cell as (select cast(floor((50 - y) / 0.25) as bigint) as row, cast(floor((x - 360 * floor(x / 360)) / 0.25) as bigint) as col, radar, value from place where y between 24 and 50 and x - 360 * floor(x / 360) < 59)
+select row, col, max(value) as value, count(distinct radar) as radars from cell group by row, col""", "sites")
+def radar_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest echo of all radars on a grid of quarter degrees."""
+    bins = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_BINS)
+    sites = role(spark, sf, "sites").select(F.col("site_id").alias("radar"), "lat", "lon")
+    return composite(bins.join(sites, "radar"), Canvas(-125, 24, -66, 50, 0.25), bin_km=1.0)
