@@ -58,14 +58,17 @@ def precipitation_type(weather: Column) -> Column:
     return out
 
 
-def metar(text: Column, year: Column, month: Column) -> Column:
-    """All fields of a report; null where the station, time or temperature is missing. Year and month are those of its receipt."""
+def metar(text: Column, year: Column, month: Column, received: Column | None = None) -> Column:
+    """All fields of a report; null where the station or temperature is missing. Year and month are those of its receipt: a day that the month lacks is of the
+    month before. Given the time of receipt itself, a day far ahead of it is of the month before, too."""
     station, at = (_part(text, r"^(?:METAR |SPECI )?(?:COR )?([A-Z][A-Z0-9]{3}) (\d{6})Z", i) for i in (1, 2))
     degrees = r" (M?\d{2})/(M?\d{2})?(?= |$)"
     temperature, dew = _signed(_part(text, degrees, 1)), _signed(_part(text, degrees, 2))
     number = lambda i: F.substring(at, i, 2).cast("int")
+    made = lambda year, month: F.try_make_timestamp_ntz(year, month, number(1), number(3), number(5), F.lit(0))
+    seen = day_time(at, received) if received is not None else F.coalesce(made(year, month), made(F.when(month == 1, year - 1).otherwise(year), F.when(month == 1, 12).otherwise(month - 1)))
     fields = {
-        "station_id": station, "observation_time": F.try_make_timestamp_ntz(year, month, number(1), number(3), number(5), F.lit(0)), "is_speci": text.startswith("SPECI"),
+        "station_id": station, "observation_time": seen, "is_speci": text.startswith("SPECI"),
         "temp_c": temperature, "dewpoint_c": dew, "wind_dir": F.nullif(_part(text, WIND, 1), F.lit("VRB")).cast("int"),
         "wind_speed_kts": _part(text, WIND, 2).cast("int"), "wind_gust_kts": _part(text, WIND, 3).cast("int"), "visibility_sm": visibility(text),
         "altimeter_hg": _part(text, r" A(\d{4})(?= |$)", 1).cast("double") / 100, "ceiling_ft": ceiling(sky(text)), "weather": present_weather(text),
@@ -145,13 +148,17 @@ def events_of(text: Column) -> Column:
 
 
 def zones(text: Column) -> Column:
-    """Zone codes of INZ001-003-KYZ002-130100-: a bare number keeps the last state and kind."""
+    """Zone codes of INZ001-003>005-KYZ002-130100-: a bare number keeps the last state and kind, and a range names all between its ends."""
     line = F.regexp_replace(F.regexp_extract(text, r"(?m)^([A-Z]{2}[CZ]\d{3}(?:[->]\s*(?:[A-Z]{2}[CZ])?\d{3}(?!\d))*)", 1), r"\s", "")
-    step = lambda s, x: F.struct(
-        F.when(x.rlike("^[A-Z]"), F.substring(x, 1, 3)).otherwise(s["head"]).alias("head"),
-        F.concat(s["out"], F.array(F.when(x.rlike("^[A-Z]"), x).otherwise(F.concat(s["head"], x)))).alias("out"),
-    )
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.aggregate(F.split(line, "-"), F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out")), step)["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        head = F.when(x.rlike("^[A-Z]"), F.substring(x, 1, 3)).otherwise(s["head"])
+        first, last = [F.regexp_extract(x, form, 1).cast("int") for form in (r"^[A-Z]*(\d{3})", r"(\d{3})$")]
+        named = F.transform(F.sequence(first, F.greatest(first, last)), lambda n: F.concat(head, F.lpad(n.cast("string"), 3, "0")))
+        return F.struct(head.alias("head"), F.concat(s["out"], named).alias("out"))
+
+    start = F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out"))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.aggregate(F.split(line, "-"), start, step)["out"])
 
 
 def warning_ring(text: Column) -> Column:
@@ -167,6 +174,14 @@ def storm_motion(text: Column) -> Column:
     return F.when(text.rlike(form), F.struct(_part(text, form, 1).cast("int").alias("degrees"), _part(text, form, 2).cast("int").alias("knots")))
 
 
+def storm_track(text: Column) -> Column:
+    """(degrees, knots, lat, lon) of TIME...MOT...LOC with a place in hundredths of a degree, west counted positive, or of STORM_MOTION: 245DEG 35KT LOC 38.56,-96.53."""
+    forms = (r"TIME\.\.\.MOT\.\.\.LOC\s+\d{4}Z\s+(\d{1,3})DEG\s+(\d{1,3})KT(?:\s+(\d{4})\s+(\d{4,5}))?", r"STORM_MOTION:\s*(\d+)DEG\s+(\d+)KT(?:\s+LOC\s+([\d.-]+),([\d.-]+))?")
+    part = lambda form, i, kind: F.nullif(F.regexp_extract(text, form, i), F.lit("")).try_cast(kind)
+    track = lambda form, lat, lon: F.struct(part(form, 1, "int").alias("degrees"), part(form, 2, "int").alias("knots"), (part(form, 3, "double") * lat).alias("lat"), (part(form, 4, "double") * lon).alias("lon"))
+    return F.when(text.rlike(forms[0]), track(forms[0], 0.01, -0.01)).when(text.rlike(forms[1]), track(forms[1], 1.0, 1.0))
+
+
 def granule_time(name: Column) -> Column:
     """Start of a granule named ..._sYYYYDDDHHMMSSt_..."""
     part = lambda i: _part(name, r"_s(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})\d_", i).cast("int")
