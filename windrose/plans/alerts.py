@@ -76,8 +76,8 @@ select now.phenomenon, now.significance, now.number, begins, ends, zones, lat is
   moved * 3 as degrees, moved + 1 as knots, last_action, cast(case significance when 'W' then 10 when 'A' then 20 else 30 end + case phenomenon when 'TO' then 1 when 'SV' then 2 when 'FF' then 4 else 6 end as int) as rank
 from now join named using (phenomenon, significance, number) where lat is not null or n_zones > 0"""
 
-#: Places and star-shaped zones with holes on both sides of the antimeridian; longitudes run on beyond 180 in SQL.
-_AROUND = ["event_id as p_id", "cast(event_id * 7919 % 5000 as double) / cast(100 as double) - 10 as p_lat", "cast(event_id * 104729 % 6000 as double) / cast(100 as double) + 150 as lon"]
+#: Places, none on a border, and star-shaped zones with holes on both sides of the antimeridian; longitudes run on beyond 180 in SQL.
+_AROUND = ["event_id as p_id", "cast(event_id * 7919 % 5000 as double) / cast(100 as double) - 10.00123 as p_lat", "cast(event_id * 104729 % 6000 as double) / cast(100 as double) + 150.00457 as lon"]
 _CORNERS = [(0.0, 6.0), (1.5, 2.0), (6.0, 1.8), (2.4, -1.0), (3.9, -5.5), (0.0, -2.5), (-3.9, -5.5), (-2.4, -1.0), (-6.0, 1.8), (-1.5, 2.0), (0.0, 6.0)]
 _HOLE = [(0.0, 1.2), (0.9, -0.7), (-0.9, -0.7), (0.0, 1.2)]
 
