@@ -130,7 +130,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], MATCH)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents that match an item; documents without an id are kept."""
-    leaks = decontamination(docs, benchmark, id, text, rate).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs[id] == leaks["__leak"], "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """``docs`` without the rows whose text matches an item, whatever their ids; null texts are kept."""
+    named = docs.select(F.xxhash64(text).alias("__name"), F.col(text).alias("__text"))
+    leaks = decontamination(named, benchmark, "__name", "__text", rate).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, docs[text].isNotNull() & (F.xxhash64(docs[text]) == leaks["__leak"]), "left_anti")

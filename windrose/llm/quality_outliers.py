@@ -180,9 +180,19 @@ def least_determinant(estimates: DataFrame) -> DataFrame:
 
 
 def quality_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """``docs`` without the text, with the statistics, base_failed, distance (null without an estimate) and kept."""
-    table = materialize(statistics(docs, text).withColumn("base_failed", base_failed()))
-    rows = table.select("*", F.col(groups[0]).alias("g0"), F.col(groups[1]).alias("g1"), *[x.alias(f"x{i}") for i, x in enumerate(vector())])
+    """``docs`` without the text, with the statistics, base_failed, distance (null without an estimate) and kept; columns of these names are replaced."""
+    # further columns travel in a struct, so that their names meet none of this module's
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text], F.lit(0).alias("none")).alias("__row"), F.col(text).alias("text"), *[F.col(g).alias(n) for g, n in zip(groups, ("g0", "g1"))])
+    judged = _judged(packed)
+    own = [c for c in judged.columns if c != "__row"]
+    back = [F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != text and c not in own]
+    return judged.select(*back, *own)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """(__row, statistics, base_failed, distance, kept) of rows (__row, text, g0, g1)."""
+    table = materialize(statistics(docs, "text").withColumn("base_failed", base_failed()))
+    rows = table.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())])
     by = materialize(scopes(rows))
     rows = rows.join(by, same(rows, by, KEYS[1:], ("l0", "l1"))).drop("g0", "g1", "l0", "l1")
     x = [f"x{i}" for i in _P]
@@ -195,4 +205,4 @@ def quality_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, str
     scale = now.join(middle, same(middle, now)).drop(*KEYS)
     out = located(rows.select("*", "by.*"), scale).withColumn("distance", F.round(F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN)), 6))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
-    return out.withColumn("kept", kept).select(*table.columns, "distance", "kept")
+    return out.withColumn("kept", kept).select(*[c for c in table.columns if c not in ("g0", "g1")], "distance", "kept")
