@@ -1,4 +1,4 @@
-"""Named queries on fields: surfaces through scattered points, raster mosaics, radar composites."""
+"""Named queries on fields: surfaces through scattered points, raster mosaics, radar composites, map tiles."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projection import Geostationary, Lambert
+from ..operators import tiles
 from ..operators.radar import Canvas, composite
 from ..operators.raster import Grid, mosaic, nearest_pixel, resample
 from ..operators.surface import surface
@@ -113,3 +114,33 @@ def radar_composite(spark: SparkSession, sf: str) -> DataFrame:
     bins = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_BINS)
     sites = role(spark, sf, "sites").select(F.col("site_id").alias("radar"), "lat", "lon")
     return composite(bins.join(sites, "radar"), Canvas(-125, 24, -66, 50, 0.25), bin_km=1.0)
+
+
+#: A raster of 40 x 70 nodes, made of orders' lines, for map tiles.
+_NODES = "select cast(l_orderkey % 40 as bigint) as row, cast(l_partkey % 70 as bigint) as col, max(l_quantity) as value from lineitem group by 1, 2"
+TILED, TILE_ZOOM, TILE_SIDE = Grid(-124.8, 49.7, 0.83, -0.63, 40, 70), 4, 64
+_PIXELS = f"""raster as ({_NODES}),
+edge as (select cast(y as bigint) as y, degrees(atan((exp(pi() * (1 - 2 * y / 16.0)) - exp(-pi() * (1 - 2 * y / 16.0))) / 2)) as lat from range(0, 17) t(y)),
+cols as (select cast(px as bigint) as px, cast(round_even(((px + 0.5) / 1024.0 * 360 - 180 + 124.8) / 0.83, 0) as bigint) as col from range(0, 1024) t(px)),
+rows as (select a.y * 64 + j as py, cast(round_even((49.7 - (a.lat - (j + 0.5) / 64.0 * (a.lat - b.lat))) / 0.63, 0) as bigint) as row from edge a join edge b on b.y = a.y + 1, range(0, 64) t(j)),
+pixels as (select px, py, value from raster join cols using (col) join rows using (row))"""
+
+
+def _sampled(spark: SparkSession, sf: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    raster = lines.groupBy((F.col("l_orderkey") % 40).cast("long").alias("row"), (F.col("l_partkey") % 70).cast("long").alias("col")).agg(F.max("l_quantity").alias("value"))
+    return tiles.samples(raster, TILED, TILE_ZOOM, side=TILE_SIDE)
+
+
+@query(f", {_PIXELS} select px // 64 as x, py // 64 as y, px % 64 as i, py % 64 as j, value, cast(floor(least(greatest((value - 5) / 40.0, 0), 1) * 4095) as int) as shade from pixels", "zones")
+def tile_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of map tiles by nearest nodes, with their entries in a table of colours."""
+    place = [F.floor(F.col(p) / TILE_SIDE).cast("long").alias(t) for p, t in (("px", "x"), ("py", "y"))]
+    inside = [(F.col(p) % TILE_SIDE).alias(t) for p, t in (("px", "i"), ("py", "j"))]
+    return _sampled(spark, sf).select(*place, *inside, "value", tiles.shade(F.col("value"), 5, 45).alias("shade"))
+
+
+@query(f", {_PIXELS} select z as zoom, px // pow(2, 4 - z)::bigint as px, py // pow(2, 4 - z)::bigint as py, count(*) as known, round(avg(value), 6) as mean, max(value) as top from pixels, (select unnest([1, 2, 3, 4])::int as z) group by 1, 2, 3 having count(*) >= pow(4, 4 - z) / 2", "zones")
+def tile_overviews(spark: SparkSession, sf: str) -> DataFrame:
+    """A pyramid of overviews over the tiles' pixels; pixels of which less than half is known have none. The SQL takes every zoom from the pixels directly."""
+    return tiles.overviews(_sampled(spark, sf), TILE_ZOOM, 1, share=0.5).withColumn("mean", F.round("mean", 6))

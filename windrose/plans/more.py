@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, physics, reports
+from ..functions import classify, physics, prose, reports
 from ..operators import latest, merge, spatial
 from .roles import role
 from .weather import _points, query
@@ -237,3 +237,25 @@ def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.range(0, 28).selectExpr("id as row").crossJoin(F.broadcast(spark.range(0, 61).selectExpr("id as col"))).selectExpr("row", "col", "cast(2 * row + 3 * col + row * col as double) as value")
     out = spatial.bilinear(_points(role(spark, sf, "airports"), "station_id"), grid, 24, -125, 1)
     return out.select(F.col("p_id").alias("station_id"), "value")
+
+
+_LETTERS = "chr(cast(65 + station_id % 26 as int)) || chr(cast(65 + station_id // 26 % 26 as int)) || 'Q'"
+_FORECAST = f"""'TAF ' || case when special then 'AMD ' else '' end || 'K' || {_LETTERS} || ' ' || strftime(seen_at, '%d%H%M') || 'Z ' || strftime(seen_at, '%d%H') || '/' || strftime(seen_at, '%d%H') || ' '
+ || lpad(cast(direction as varchar), 3, '0') || lpad(cast(speed as varchar), 2, '0') || coalesce('G' || lpad(cast(gust as varchar), 2, '0'), '') || 'KT ' || case when visibility > 6 then 'P6SM ' else cast(cast(floor(visibility) as int) as varchar) || 'SM ' end
+ || coalesce('BKN' || lpad(cast(ceiling // 100 as varchar), 3, '0'), 'SKC') || case obs_id % 4 when 0 then '' when 1 then chr(10) || '     FM' || strftime(seen_at, '%d%H%M') || ' VRB05KT P6SM -SHRA FEW020 OVC'
+ when 2 then chr(10) || '  TEMPO 0102/0104 1/2SM +TSRA BKN030CB' else chr(10) || '  PROB30 TEMPO 0102/0104 FG NOSIG RMK NXT FCST' end"""
+
+
+@query("""select obs_id, station, issued, issued_hour || ' to ' || issued_hour as valid, p.number, p.kind, case when p.kind = 'FROM' then issued end as time,
+ case p.number when 0 then first else p.words end as conditions from (
+ select obs_id, 'K' || {letters} as station, strftime(seen_at, '%d/%H%MZ') as issued, strftime(seen_at, '%d/%H00Z') as issued_hour,
+  'Weather: TAF; ' || case when special then 'Weather: AMD; ' else '' end || 'Weather: K' || {letters} || '; Wind: ' || lpad(cast(direction as varchar), 3, '0') || '° at ' || lpad(cast(speed as varchar), 2, '0') || ' knots' || case when gust is null then '' else ' gusting to ' || lpad(cast(gust as varchar), 2, '0') || ' knots' end
+  || '; Visibility: ' || case when visibility > 6 then '>6' else cast(cast(floor(visibility) as int) as varchar) end || ' statute miles; ' || case when ceiling is null then 'Sky clear' else 'Broken clouds at ' || cast(ceiling as varchar) || ' feet' end as first, obs_id % 4 as form from metar) m
+join (values (0, 0, 'INITIAL', ''), (1, 0, 'INITIAL', ''), (2, 0, 'INITIAL', ''), (3, 0, 'INITIAL', ''), (1, 1, 'FROM', 'Wind: Variable at 05 knots; Visibility: >6 statute miles; Weather: Light rain showers; Few clouds at 2000 feet; Overcast'),
+ (2, 1, 'TEMPORARY', 'Visibility: 1/2 statute miles; Weather: Heavy thunderstorm with rain; Broken clouds at 3000 feet'), (3, 1, 'PROBABILITY 30%', ''), (3, 2, 'TEMPORARY', 'Weather: fog; Weather: NOSIG')) p(form, number, kind, words) on p.form = m.form""".replace("{letters}", _LETTERS), "metar")
+def forecast_prose(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of four forms in words, a row for each period; the SQL says the words from the columns, without the text."""
+    text = _FORECAST.replace("varchar", "string").replace("strftime(seen_at, '%d%H%M')", "date_format(seen_at, 'ddHHmm')").replace("strftime(seen_at, '%d%H')", "date_format(seen_at, 'ddHH')").replace("ceiling // 100", "ceiling div 100").replace("station_id // 26", "station_id div 26")
+    told = role(spark, sf, "metar").select("obs_id", prose.taf_prose(F.expr(text)).alias("t"))
+    periods = told.select("obs_id", "t.station", "t.issued", "t.valid", F.posexplode("t.periods").alias("number", "p"))
+    return periods.select("obs_id", "station", "issued", "valid", "number", "p.kind", "p.time", F.array_join("p.conditions", "; ").alias("conditions"))
