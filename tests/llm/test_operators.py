@@ -113,6 +113,15 @@ def test_decontamination(spark):
     assert decontamination.decontamination(docs, bench.limit(0)).isEmpty()
 
 
+def test_short_items_may_differ_as_well(spark):
+    item = "seven wizards quietly boxed in a ring."  # 38 characters: three edits
+    texts = [item, item.replace("boxed", "foxed"), item.replace("quiet", "riot"), "eight lizards calmly boxed on a string", "bad gap", "tin lid"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, item), (1, texts[1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "bad lid")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontamination.decontamination(docs, bench).collect()), key=repr)
+    assert got == sorted([(0, 7, 0), (1, 7, 1), (1, 7, 1), (2, 7, 3), (None, 7, 0)], key=repr)
+
+
 def distance(item: str, text: str) -> int:
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -290,7 +299,7 @@ def test_decontamination_equals_brute_force(spark):
             if text and item:
                 a, b = decontamination.plain(item), decontamination.plain(text)
                 d = distance(a, b)
-                if d <= (int(len(a) * decontamination.RATE) if len(a) >= decontamination.LEAST else 0):
+                if d <= int(len(a) * decontamination.RATE):
                     want.add((i, k, d))
     assert {(r.doc_id, r.item_id, r.distance) for r in found} == want and len(found) == len(want)
 
@@ -310,3 +319,22 @@ def test_importance_weights_equal_a_plain_version(spark):
     order = sorted(out, key=lambda r: -r.gumbel_key)
     assert [r.kept for r in order] == [r.gumbel_key >= order[3].gumbel_key for r in order]
     assert len(grams[0]) == 7 and len(grams[2]) == 0
+
+
+def test_idle_workers_let_go_of_what_they_remember(monkeypatch):
+    """After a while without a batch both caches are empty; the next batch gives the same ids."""
+    import time
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    class Ranks:
+        value = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    texts = pa.array(["so many words, so little time", None, ""])
+    first = bpe._ids_of(texts, Ranks, "x", public_tokenizers.PATTERN)
+    assert bpe._bytes_of(first, Ranks, "x").to_pylist() == [b"so many words, so little time", b"", b""] and bpe._ENCODERS and bpe._DECODERS
+    time.sleep(1.0)
+    assert not bpe._ENCODERS and not bpe._DECODERS and bpe._KEPT.watch is None
+    assert bpe._ids_of(texts, Ranks, "x", public_tokenizers.PATTERN).equals(first)

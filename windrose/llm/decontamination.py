@@ -9,7 +9,7 @@ with runs of white space as one blank.
 The items are a stated query set. They go to the tasks in blocks of at most ``ITEM_BYTES``; each block is one pass over the
 documents, without a shuffle of texts.
 
-Cases: null or empty texts and items match nothing; items shorter than ``LEAST`` characters match only as whole;
+Cases: null or empty texts and items match nothing; items of fewer than 1 / ``rate`` characters have no budget and match only as whole;
 repeated items or rows match each; an empty table gives no rows; further columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, LEAST, ITEM_BYTES = 0.08, 40, 16 << 20
+RATE, ITEM_BYTES = 0.08, 16 << 20
 MATCH = "doc_id long, item_id long, distance int, at long"
 
 
@@ -36,7 +36,7 @@ class Item:
 
     def __init__(self, id: int, text: str, rate: float):
         self.id, self.text, self.m = id, text, len(text)
-        self.budget = int(self.m * rate) if self.m >= LEAST else 0
+        self.budget = int(self.m * rate)
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -103,8 +103,10 @@ class Finder:
 
 
 def matches(docs: DataFrame, items: list[tuple[int, str]], rate: float, id: str, text: str) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BYTES, sent to each executor once instead of with each task
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items, rate)
+        finder = Finder(block.value, rate)
         for batch in batches:
             rows = [
                 (doc, finder.items[k].id, distance, at)
