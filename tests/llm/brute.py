@@ -65,7 +65,7 @@ def op3(rows):
     first={}; enc=[(d,(t or '').split('\n')) for d,t in rows]
     for d,b in sorted(enc,key=lambda x:x[0]):
         for i in range(len(b)-2):
-            if any(x.strip(' ') for x in b[i:i+3]): first.setdefault(tuple(b[i:i+3]),(d,i))
+            if any(x.strip(' \t\n\v\f\r') for x in b[i:i+3]): first.setdefault(tuple(b[i:i+3]),(d,i))
     out={}
     for d,b in enc:
         g=set()

@@ -17,13 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a line without a word is made of.
+BLANKS = " \t\n\v\f\r"
+
 
 def windows_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(name, check, doc, row, at) of each window; ``row`` tells rows of one id apart, ``at`` is its first line."""
     lines = docs.select(F.coalesce(F.col(id), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("row"), F.split(text, "\n").alias("lines")).where(F.size("lines") >= 3)
     hashed = lines.select(
         "doc", "row",
-        F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.length(F.trim(x)) > 0).alias("word"))).alias("h"),
+        F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.length(F.trim(x, F.lit(BLANKS))) > 0).alias("word"))).alias("h"),
     )
     spread = hashed.select("doc", "row", F.posexplode(F.arrays_zip(F.slice("h", 1, F.size("h") - 2).alias("x"), F.slice("h", 2, F.size("h") - 2).alias("y"), F.slice("h", 3, F.size("h") - 2).alias("z"))).alias("at", "w"))
     three = [F.col(f"w.{c}") for c in "xyz"]

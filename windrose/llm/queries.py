@@ -109,10 +109,10 @@ def oracle_sql() -> dict[str, str]:
     return {"op3_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL, "op13_lexical_search": SEARCH_SQL}
 
 
-LINES_SQL = """
+LINES_SQL = r"""
 with line as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
 three as (select doc_id, i, x, lead(x) over w as y, lead(x, 2) over w as z from line window w as (partition by doc_id order by i)),
-ranked as (select doc_id, i, row_number() over (partition by x, y, z order by doc_id, i) as n from three where z is not null and (trim(x) <> '' or trim(y) <> '' or trim(z) <> '')),
+ranked as (select doc_id, i, row_number() over (partition by x, y, z order by doc_id, i) as n from three where z is not null and regexp_matches(x || y || z, '[^\x20\x09-\x0D]')),
 gone as (select distinct doc_id, i + k as i from ranked, (select unnest([0, 1, 2]) as k) where n > 1)
 select line.doc_id, count(gone.i) as n_removed, sha256(coalesce(string_agg(line.x, chr(10) order by line.i) filter (where gone.i is null), '')) as kept_sha256
 from line left join gone on line.doc_id = gone.doc_id and line.i = gone.i group by line.doc_id
