@@ -6,6 +6,8 @@ rules and go; an empty table goes through all stages as one.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs):x}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"  # a run never writes over another's tables
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/{k}")
+            docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +181,38 @@ def within(counts: np.ndarray) -> np.ndarray:
 #: By the vocabulary's digest: objects of a worker's earlier jobs may not be taken for this one's.
 _ENCODERS: dict[tuple, TextEncoder] = {}
 _DECODERS: dict[str, TokenBytes] = {}
+#: Seconds without a batch after which a worker, which Spark keeps for other stages, lets go of both.
+IDLE = 2.0
+
+
+class Kept:
+    """What a worker remembers from task to task, until no batch has used it for ``IDLE`` seconds."""
+
+    def __init__(self) -> None:
+        self.lock, self.used, self.watch = threading.Lock(), 0.0, None
+
+    def __enter__(self) -> None:
+        self.lock.acquire()
+        if self.watch is None:
+            self.watch = threading.Thread(target=self.wait, daemon=True)
+            self.watch.start()
+
+    def __exit__(self, *fault: object) -> None:
+        self.used = time.monotonic()
+        self.lock.release()
+
+    def wait(self) -> None:
+        while True:
+            time.sleep(IDLE)
+            with self.lock:
+                if time.monotonic() - self.used >= IDLE:
+                    _ENCODERS.clear()
+                    _DECODERS.clear()
+                    self.watch = None
+                    return
+
+
+_KEPT = Kept()
 
 
 def digest(ranks: dict[bytes, int]) -> str:
@@ -193,6 +227,26 @@ def _encoder(ranks: Broadcast, name: str, pattern: str) -> TextEncoder:
     return _ENCODERS[key]
 
 
+def _ids_of(column: pa.Array, ranks: Broadcast, name: str, pattern: str) -> pa.ListArray:
+    ends, flat = [0], []
+    with _KEPT:
+        encoder = _encoder(ranks, name, pattern)
+        for value in column:
+            one = encoder(value.as_py() or "")
+            flat.append(np.array(one, np.int32))
+            ends.append(ends[-1] + len(one))
+    values = np.concatenate(flat) if flat else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _bytes_of(column: pa.ListArray, ranks: Broadcast, name: str) -> pa.Array:
+    with _KEPT:
+        if name not in _DECODERS:
+            _DECODERS.clear()
+            _DECODERS[name] = TokenBytes(ranks.value)
+        return _DECODERS[name](column)
+
+
 def _vocabulary(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
     """The vocabulary and its digest. It goes to every executor once: its size is that of the file, not of the data."""
     ranks = read_ranks(path)
@@ -205,14 +259,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        encoder = _encoder(ranks, name, pattern)
-        ends, flat = [0], []
-        for value in column:
-            one = encoder(value.as_py() or "")
-            flat.append(np.array(one, np.int32))
-            ends.append(ends[-1] + len(one))
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        return _ids_of(column, ranks, name, pattern)
 
     # Spark would encode again for each column made of the ids, and again within ``decode``; it doesn't repeat what may not repeat itself
     return df.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
@@ -224,9 +271,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
-        if name not in _DECODERS:
-            _DECODERS.clear()
-            _DECODERS[name] = TokenBytes(ranks.value)
-        return _DECODERS[name](column)
+        return _bytes_of(column, ranks, name)
 
     return df.withColumn(decoded, bytes_of(F.col(ids)))
