@@ -6,6 +6,7 @@ The time of evaluation is the newest observation of the table; ties are broken b
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ def query(text: str, *names: str) -> Callable[[Query], Query]:
     return keep
 
 
-def recent(spark: SparkSession, sf: str, days: int = 2) -> DataFrame:
-    """Observations of the last days before the newest."""
+def recent(spark: SparkSession, sf: str, days: int = 2, as_of: datetime | None = None) -> DataFrame:
+    """Observations of the days before ``as_of``, which goes to the scan as a constant; without it, before the newest."""
     metar = role(spark, sf, "metar")
+    if as_of is not None:
+        return metar.where(F.col("seen_at").between(F.lit(as_of - timedelta(days=days)), F.lit(as_of))).withColumn("now", F.lit(as_of))
     return metar.crossJoin(F.broadcast(metar.agg(F.max("seen_at").alias("now")))).where(F.col("seen_at") >= F.col("now") - F.expr(f"interval {days} days"))
 
 
@@ -39,8 +42,8 @@ _LAST = "last as (select * from (select *, row_number() over (partition by stati
 
 
 @query(f", {_RECENT}, {_LAST} select l.station_id, obs_id, speed, gust, case when region = 0 or runway_ft >= 8000 then 'large' when runway_ft >= 5000 then 'medium' else 'small' end as size from last l left join airports a on l.station_id = a.station_id where lat between 25 and 45 and lon between -120 and -75", "metar", "airports")
-def recent_obs_in_bbox(spark: SparkSession, sf: str) -> DataFrame:
-    last = latest.latest_per_key(recent(spark, sf).drop("now"), ["station_id"], "seen_at", ["obs_id"])
+def recent_obs_in_bbox(spark: SparkSession, sf: str, as_of: datetime | None = None) -> DataFrame:
+    last = latest.latest_per_key(recent(spark, sf, as_of=as_of).drop("now"), ["station_id"], "seen_at", ["obs_id"])
     out = last.join(role(spark, sf, "airports"), "station_id", "left").where(geo.in_box(F.col("lat"), F.col("lon"), -120, 25, -75, 45))
     return out.select("station_id", "obs_id", "speed", "gust", classify.size_class(F.col("runway_ft"), F.col("region") == 0).alias("size"))
 
@@ -49,16 +52,16 @@ _PRIORITY = "case when military then 1 when region = 0 then 2 when runway_ft >=
 
 
 @query(f", {_RECENT}, {_LAST} select l.station_id, obs_id, speed, {_PRIORITY} as priority from last l join airports a on l.station_id = a.station_id where lat between 20 and 60 and (lon >= 151 or lon <= -80) order by priority, speed desc nulls last, l.station_id limit 100", "metar", "airports")
-def prioritised_obs_antimeridian(spark: SparkSession, sf: str) -> DataFrame:
-    last = latest.latest_per_key(recent(spark, sf).drop("now"), ["station_id"], "seen_at", ["obs_id"])
+def prioritised_obs_antimeridian(spark: SparkSession, sf: str, as_of: datetime | None = None) -> DataFrame:
+    last = latest.latest_per_key(recent(spark, sf, as_of=as_of).drop("now"), ["station_id"], "seen_at", ["obs_id"])
     out = last.join(role(spark, sf, "airports"), "station_id").where(geo.in_box(F.col("lat"), F.col("lon"), -209, 20, -80, 60))
     out = out.select("station_id", "obs_id", "speed", classify.station_priority(F.col("military"), F.col("runway_ft"), F.col("region")).alias("priority"))
     return out.orderBy("priority", F.desc_nulls_last("speed"), "station_id").limit(100)
 
 
 @query(f", {_RECENT} select station_id, runway_ft from airports a where not exists (select 1 from recent r where r.station_id = a.station_id)", "metar", "airports")
-def airports_without_recent_obs(spark: SparkSession, sf: str) -> DataFrame:
-    return role(spark, sf, "airports").join(recent(spark, sf), "station_id", "left_anti").select("station_id", "runway_ft")
+def airports_without_recent_obs(spark: SparkSession, sf: str, as_of: datetime | None = None) -> DataFrame:
+    return role(spark, sf, "airports").join(recent(spark, sf, as_of=as_of), "station_id", "left_anti").select("station_id", "runway_ft")
 
 
 @query(f", {_RECENT} select station_id, runway_ft from airports a where exists (select 1 from recent r where r.station_id = a.station_id and special)", "metar", "airports")
