@@ -18,3 +18,7 @@ def test_pairs_are_made_last(spark, sf_dir, name):
     plan = planned(spark, sf_dir, name)
     first = re.search(r"(\w*Join\w*) \[([^\]]*)\]", plan)
     assert first[1] == "SortMergeJoin" and "cy#" in first[2] and "Exchange" not in plan[: first.start()]
+
+
+def test_stoplight_pairs_no_site_with_all_flashes(spark, sf_dir):
+    assert "bool_or" not in planned(spark, sf_dir, "current_stoplight")
