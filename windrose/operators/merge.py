@@ -103,3 +103,10 @@ def cooled(alerts: DataFrame, keys: list[str], time: str, minutes: int = 15) ->
     kind = alerts.schema[time].dataType.simpleString()
     sent = rows.groupBy(*keys, "__row").agg(F.array_sort(F.collect_list(time)).alias("__all"))
     return sent.select(*keys, F.explode(F.aggregate("__all", F.array().cast(f"array<{kind}>"), step)).alias(time))
+
+
+def after_pause(alerts: DataFrame, keys: list[str], time: str, minutes: int = 15) -> DataFrame:
+    """The alerts with no other of equal keys within ``minutes`` before, sent or not: of a row without such a pause only the first. Missing times come last and each by itself."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_last())
+    return alerts.select(*keys, time).withColumn("__fresh", F.coalesce(at - F.lag(at).over(w) >= minutes * 60_000_000, F.lit(True))).where("__fresh").drop("__fresh")
