@@ -52,3 +52,8 @@ def test_long_text_and_repeated_rows(spark):
     text = "TAF KAAA 010000Z 0100/0206 18005KT" + "\n FM010100 20010KT P6SM SKC" * 3000
     a, b = told(spark, [text, text])
     assert a == b and len(a.periods) == 3001 and a.periods[3000].conditions == ["Wind: 200° at 10 knots", "Visibility: >6 statute miles", "Sky clear"]
+
+
+def test_letters_that_hold_sm_are_no_visibility(spark):
+    (t,) = told(spark, ["TAF KSMQ 010000Z 0100/0206 18005KT P6SM M1/4SM"])
+    assert t.periods[0].conditions == ["Weather: TAF", "Weather: KSMQ", "Wind: 180° at 05 knots", "Visibility: >6 statute miles", "Visibility: M1/4 statute miles"]

@@ -39,7 +39,7 @@ def phrase(group: Column) -> Column:
     code, force = of(weather, 2), F.when(of(weather, 1) == "+", "Heavy ").when(of(weather, 1) == "-", "Light ").otherwise("")
     return (
         F.when(group.rlike(wind), F.concat(F.lit("Wind: "), origin, F.lit(" at "), of(wind, 2), F.lit(" knots"), gust))
-        .when(group.contains("SM"), F.concat(F.lit("Visibility: "), F.replace(F.replace(group, F.lit("SM"), F.lit("")), F.lit("P"), F.lit(">")), F.lit(" statute miles")))
+        .when(group.contains("SM") & ~group.rlike(weather), F.concat(F.lit("Visibility: "), F.replace(F.replace(group, F.lit("SM"), F.lit("")), F.lit("P"), F.lit(">")), F.lit(" statute miles")))
         .when(group.rlike(layer), F.concat(_named(LAYERS, of(layer, 1)), height))
         .when(group.rlike(weather) & ~group.startswith("FM") & ~group.isin("TEMPO", "BECMG", "RMK"), F.concat(F.lit("Weather: "), force, F.coalesce(_named(WEATHER, code), code)))
     )
