@@ -13,7 +13,7 @@ def planned(spark, sf_dir, name):
     return weather.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["station_neighbours", "wind_map"])
+@pytest.mark.parametrize("name", ["station_neighbours", "wind_map", "incident_reports"])
 def test_pairs_are_made_last(spark, sf_dir, name):
     plan = planned(spark, sf_dir, name)
     first = re.search(r"(\w*Join\w*) \[([^\]]*)\]", plan)
