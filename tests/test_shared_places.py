@@ -28,7 +28,7 @@ def shared(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["wind_map"])
+@pytest.mark.parametrize("name", ["wind_map", "incident_reports"])
 def test_whole_answer_in_few_bytes_a_row(spark, shared, tmp_path, name):
     out = str(tmp_path / "out")
     weather.queries()[name](spark, shared).write.parquet(out)
